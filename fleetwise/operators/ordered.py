@@ -86,6 +86,27 @@ def running_totals(
     )
 
 
+def best_before(
+    rows: DataFrame, groups: Sequence[str], value: str, state: str, out: str
+) -> DataFrame:
+    """Add the largest ``state`` among the group's rows before this one, in order of ``value``.
+
+    ``value`` is unique within the group; the first row gets NULL.
+    """
+    laid = stored(
+        rows.repartitionByRange(*groups, value).withColumn(_PART, F.spark_partition_id()), "best"
+    )
+    parts = laid.groupBy(*groups, _PART).agg(F.max(state).alias("_top"))
+    earlier = Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    tops = parts.select(*groups, _PART, F.max("_top").over(earlier).alias("_carried"))
+    before = Window.partitionBy(*groups, _PART).orderBy(value).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    return laid.join(tops, [*groups, _PART]).select(
+        *rows.columns, F.greatest(F.max(state).over(before), F.col("_carried")).alias(out)
+    )
+
+
 def quantiles_within(counts: DataFrame, groups: Sequence[str], value: str, q: float) -> DataFrame:
     """Exact interpolated quantile per group of a table of (group, value, n) counts."""
     run = running_totals(counts, groups, value, ["n"])

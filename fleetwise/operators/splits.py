@@ -20,7 +20,7 @@ def units_of(df: DataFrame, spec: TelemetrySpec = DEFAULT) -> DataFrame:
     return df.groupBy(spec.unit).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def test_units(
+def unit_sides(
     df: DataFrame, spec: TelemetrySpec = DEFAULT, *, share: float = TEST_SHARE, seed: int = SEED
 ) -> DataFrame:
     """Every unit with its side: the lowest draws go to the test side."""
@@ -35,7 +35,7 @@ def grouped_split(
     df: DataFrame, spec: TelemetrySpec = DEFAULT, *, share: float = TEST_SHARE, seed: int = SEED
 ) -> DataFrame:
     """Add ``split``; a unit is never on both sides."""
-    return df.join(test_units(df, spec, share=share, seed=seed), spec.unit)
+    return df.join(unit_sides(df, spec, share=share, seed=seed), spec.unit)
 
 
 def fold_units(df: DataFrame, spec: TelemetrySpec = DEFAULT, *, folds: int = FOLDS) -> DataFrame:
