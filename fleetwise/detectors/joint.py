@@ -230,18 +230,18 @@ class Ellipsoid:
 
 
 def mean_and_covariance(df: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """All means and cross products in one aggregation."""
+    """All means and cross products in one aggregation, for columns on a common scale."""
     k = len(names)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = df.agg(
         F.count(F.lit(1)),
-        *[F.avg(c) for c in names],
-        *[F.covar_pop(names[i], names[j]) for i, j in pairs],
+        *[F.sum(c) for c in names],
+        *[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs],
     ).first()
-    n, mean = row[0], np.array(row[1 : k + 1], dtype=float)
+    n, mean = row[0], np.array(row[1 : k + 1], dtype=float) / row[0]
     cov = np.zeros((k, k))
     for (i, j), v in zip(pairs, row[k + 1 :]):
-        cov[i, j] = cov[j, i] = v
+        cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
     return n, mean, cov
 
 

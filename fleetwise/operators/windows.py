@@ -57,9 +57,10 @@ def temporal_features(
         )
     made: list[Column] = []
     for s in spec.signals:
-        deviation = F.stddev_samp(s).over(frame)  # NULL below two values: the guard of the mean too
+        deviation = F.stddev_samp(s).over(frame)  # NULL below two values
+        enough = deviation.isNotNull() if "std" in stats else F.count(s).over(frame) >= 2
         each = {
-            "mean": F.when(deviation.isNotNull(), F.avg(s).over(frame)),
+            "mean": F.when(enough, F.avg(s).over(frame)),
             "std": deviation,
             "slope": F.avg(f"_step_{s}").over(frame),
             "delta": F.col(s) - F.lag(s, rows - 1).over(w),
