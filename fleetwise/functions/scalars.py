@@ -31,8 +31,8 @@ def to_number(name: str) -> Column:
 
 
 def plain_name(c: Column) -> Column:
-    """Lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    """Lower case, letters and digits only, of any alphabet."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
 
 
 def signal_map(signals: Sequence[str]) -> Column:

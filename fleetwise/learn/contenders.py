@@ -23,7 +23,7 @@ from fleetwise.operators.projection import assert_no_leakage
 from fleetwise.spec import DEFAULT, SEED, TelemetrySpec
 
 # Defaults and the parameters a search may change.
-LOGREG_DEFAULTS = {"C": 1.0, "max_iter": 1000}
+LOGREG_DEFAULTS = {"C": 1.0, "max_iter": 1000, "tol": 1e-5}
 LOGREG_TUNABLE = ("C",)
 BOOSTED_DEFAULTS = {
     "n_estimators": 200,
@@ -181,6 +181,7 @@ def logreg_model(seed: int = SEED, overrides: Mapping[str, object] | None = None
                     regParam=1.0 / (float(params["C"]) * p.rows),  # balanced weights sum to rows
                     standardization=False,
                     maxIter=int(params["max_iter"]),
+                    tol=float(params["tol"]),
                 ),
             ]
         )

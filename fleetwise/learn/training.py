@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +111,7 @@ def oof_predictions(
     *,
     folds: int = FOLDS,
     out: str = "probability",
+    parallelism: int = 4,
 ) -> DataFrame:
     """Every train row scored by a model that never saw its unit.
 
@@ -117,15 +120,16 @@ def oof_predictions(
     dealt = grouped_folds(train, spec, folds=folds)
     dealt = stored(dealt, "folds")
     numbers = sorted(r[0] for r in dealt.select("fold").distinct().collect())  # at most `folds`
-    parts = None
-    for k in numbers:
+
+    def one(k: int) -> DataFrame:
         held, rest = dealt.filter(F.col("fold") == k), dealt.filter(F.col("fold") != k)
         try:
-            scored = contender.fit(rest, features, spec).score(held, out)
+            return contender.fit(rest, features, spec).score(held, out)
         except DegenerateSplit:
-            scored = held.withColumn(out, F.lit(None).cast("double"))
-        parts = scored if parts is None else parts.unionByName(scored)
-    return parts
+            return held.withColumn(out, F.lit(None).cast("double"))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(one, numbers)))
 
 
 def grouped_cv_auc(

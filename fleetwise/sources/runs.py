@@ -184,10 +184,19 @@ class RunStore:
         return current_state(self._table("run_events", EVENT_SCHEMA))
 
     def append_readings(self, run_id: str, df: DataFrame) -> int:
-        packed = pack_readings(df, self.spec).withColumn("run_id", F.lit(run_id))
-        packed.write.mode("append").partitionBy("run_id").parquet(f"{self.root}/run_readings")
+        self.append_packed(pack_readings(df, self.spec).withColumn("run_id", F.lit(run_id)))
         return self.count_readings(run_id)
 
+    def append_packed(self, packed: DataFrame) -> None:
+        """Rows of any number of runs, already in the stored form."""
+        packed.write.mode("append").partitionBy("run_id").parquet(f"{self.root}/run_readings")
+
+    def counts(self) -> DataFrame:
+        return self.all_rows().groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+    def all_rows(self) -> DataFrame:
+        return self._table("run_readings", READING_SCHEMA)
+
     def run_rows(self, run_id: str) -> DataFrame:
         return self._table("run_readings", READING_SCHEMA).filter(F.col("run_id") == run_id)
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetwise.operators.ordered import rank_within
-from fleetwise.shared import stored
+from fleetwise.shared import new_path
 from fleetwise.sources.readings import schema_of
 
 _ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
-_RAMP_ROWS = 84
-
 _PLACED = """
 SELECT *, CAST(CASE WHEN unit_id % 2 = 0 THEN 200 + (unit_id * 37) % 300 END AS BIGINT) AS event_idx,
   CASE unit_id % 6 WHEN 0 THEN 'overheat' WHEN 2 THEN 'oil_starve' WHEN 4 THEN 'bearing' ELSE '' END AS unit_mode
@@ -48,15 +47,22 @@ SELECT unit_id, t_index, CAST(t_index AS DOUBLE) * 2e0 AS timestamp_h,
   anomaly_type, anomaly_type <> '' AS is_outlier
 FROM {labelled}"""
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """Write a derived table the first time an application asks for it."""
+    path, schema = once_at(spark, sf_dir, name, make)
+    return spark.read.schema(schema).parquet(path)
+
+
+def once_at(spark: SparkSession, sf_dir: str, name: str, make) -> tuple[str, T.StructType]:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    if key not in _kept:
-        _kept[key] = stored(make(), name)
-    return _kept[key]
+    if key not in _written:
+        df, path = make(), new_path(spark, name)
+        df.write.parquet(path)
+        _written[key] = (path, df.schema)
+    return _written[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,10 +88,21 @@ def derive_readings(spark: SparkSession, lineitem: DataFrame) -> DataFrame:
     return out.select(*[F.col(f.name).cast(f.dataType) for f in schema_of().fields])
 
 
+def readings_at(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
+    make = lambda: derive_readings(spark, table(spark, sf_dir, "lineitem"))
+    return once_at(spark, sf_dir, "readings", make)
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(
-        spark,
-        sf_dir,
-        "readings",
-        lambda: derive_readings(spark, table(spark, sf_dir, "lineitem")),
-    )
+    path, schema = readings_at(spark, sf_dir)
+    return spark.read.schema(schema).parquet(path)
+
+
+def readings_sql() -> str:
+    """The same derivation as one SQL text over ``lineitem``."""
+    order = ", ".join(_ORDER)
+    return f"""WITH o AS (SELECT CAST(l_suppkey AS BIGINT) AS unit_id,
+  CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY {order}) - 1 AS INT) AS t_index,
+  l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS x FROM lineitem),
+e AS ({_PLACED.format(numbered="o")}), f AS ({_LABELLED.format(placed="e")})
+{_READINGS.format(labelled="f")}"""
