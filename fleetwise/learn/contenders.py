@@ -125,7 +125,7 @@ class Contender:
         *,
         label: str | None = None,
     ) -> Fitted:
-        """Fit on all rows of ``df``. Rows are spread by their key, so no unit fills one task."""
+        """Fit on all rows of ``df``, as they are laid out: MLlib sums over partitions of any kind."""
         label = label or spec.target
         assert_no_leakage(features, spec)
         p = profile(df, features, label)
@@ -135,11 +135,8 @@ class Contender:
         marked = (
             tuple(c for c in present if p.present[c] < p.rows) if self.name == "boosted" else ()
         )
-        key = [c for c in spec.key if c in df.columns]
-        rows = df.select(*key, *features, F.col(label).cast("double").alias(label))
+        rows = df.select(*features, F.col(label).cast("double").alias(label))
         rows = rows.withColumn(WEIGHT, balanced(label, p))
-        if key:
-            rows = rows.repartition(*key).sortWithinPartitions(*key)
         ready = _prepared(rows, self.name, present, marked).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             model = self.build(

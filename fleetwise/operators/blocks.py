@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from fleetwise.operators.ordered import rank_within
+from fleetwise.operators.ordered import best_before, rank_within
 from fleetwise.spec import TelemetrySpec
 
 BLOCK = "_block"
@@ -64,10 +64,7 @@ def carried_max(df: DataFrame, spec: TelemetrySpec, marks: Sequence[str]) -> Dat
     """
     upto = block_window(spec).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tops = df.groupBy(spec.unit, BLOCK).agg(*[F.max(m).alias(m) for m in marks])
-    earlier = Window.partitionBy(spec.unit).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(
-        spec.unit, BLOCK, *[F.max(m).over(earlier).alias(f"_carried_{m}") for m in marks]
-    )
+    carried = best_before(tops, [spec.unit], BLOCK, {f"_carried_{m}": m for m in marks}).drop(*marks)
     rest = [c for c in df.columns if c not in marks]
     return df.join(carried, [spec.unit, BLOCK]).select(
         *rest,

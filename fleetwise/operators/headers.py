@@ -42,20 +42,42 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest > 0, 1.0 - F.levenshtein(a, b) / longest.cast("double")).otherwise(0.0)
 
 
-@F.pandas_udf("double")
-def matching_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Twice the matched characters over both lengths, matched longest block first."""
-    for a, b in batches:
-        yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def matching_ratio(at_least: float = 0.0):
+    """Twice the matched characters over both lengths, matched longest block first.
+
+    A pair whose upper bound stays below ``at_least`` gets 0 without being matched.
+    """
+
+    @F.pandas_udf("double")
+    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        matcher, held = SequenceMatcher(None), None
+        for signals, names in batches:
+            out = []
+            for signal, name in zip(signals, names):
+                if name != held:  # the matcher keeps an index of its second text
+                    matcher.set_seq2(name)
+                    held = name
+                matcher.set_seq1(signal)
+                hopeless = matcher.quick_ratio() < at_least
+                out.append(0.0 if hopeless else matcher.ratio())
+            yield pd.Series(out, dtype="float64")
+
+    return ratio
 
 
 def pair_scores(
-    headers: DataFrame, header: str, spec: TelemetrySpec = DEFAULT, *, ratio: str = "matching"
+    headers: DataFrame,
+    header: str,
+    spec: TelemetrySpec = DEFAULT,
+    *,
+    ratio: str = "matching",
+    at_least: float = 0.0,
 ) -> DataFrame:
     """(header, signal, score) of every distinct header with every signal.
 
     Distinct plain names are scored once, however many files use them. ``ratio`` is "matching", the
-    default, or "edit" for a JVM-only score.
+    default, or "edit" for a JVM-only score. Pairs under
+    ``at_least`` may be left out or given as 0, which spares most of the work.
     """
     names = headers.select(F.col(header).alias("header")).distinct()
     plain = names.withColumn("_name", plain_name(F.col("header")))
@@ -79,7 +101,10 @@ def pair_scores(
     if ratio == "edit":
         near = edit_similarity(F.col("_signal"), F.col("_name"))
     else:
-        near = matching_ratio(F.col("_signal"), F.col("_name"))
+        # no ratio exceeds twice the shorter length over both
+        a, b = F.length("_signal"), F.length("_name")
+        distinct = distinct.filter(F.col("_known").isNotNull() | (2 * F.least(a, b) >= at_least * (a + b)))
+        near = matching_ratio(at_least)(F.col("_signal"), F.col("_name"))
     scored = distinct.filter(F.col("_known").isNotNull()).select(
         "_name", "signal", F.col("_known").alias("score")
     ).unionByName(
@@ -105,7 +130,8 @@ def match_headers(
     """
     n = len(spec.signals)
     listed = catalogue.groupBy(file, header).agg(F.min(position).alias("_position"))
-    scores = pair_scores(catalogue, header, spec, ratio=ratio).filter(F.col("score") >= cut)
+    scores = pair_scores(catalogue, header, spec, ratio=ratio, at_least=cut)
+    scores = scores.filter(F.col("score") >= cut)
     pairs = listed.join(scores.withColumnRenamed("header", header), header)
     best = Window.partitionBy(file, "signal").orderBy(F.desc("score"), "_position")
     pairs = pairs.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= n)

@@ -7,7 +7,7 @@ give every partition its starting point.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,23 +87,29 @@ def running_totals(
 
 
 def best_before(
-    rows: DataFrame, groups: Sequence[str], value: str, state: str, out: str
+    rows: DataFrame, groups: Sequence[str], value: str, states: Mapping[str, str]
 ) -> DataFrame:
-    """Add the largest ``state`` among the group's rows before this one, in order of ``value``.
+    """For each ``out: state``, the largest state among the group's rows before this one.
 
-    ``value`` is unique within the group; the first row gets NULL.
+    ``value`` is unique within the group and gives the order; the first row gets NULL.
     """
     laid = stored(
         rows.repartitionByRange(*groups, value).withColumn(_PART, F.spark_partition_id()), "best"
     )
-    parts = laid.groupBy(*groups, _PART).agg(F.max(state).alias("_top"))
+    parts = laid.groupBy(*groups, _PART).agg(*[F.max(s).alias(f"_top_{s}") for s in states.values()])
     earlier = Window.partitionBy(*groups).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    tops = parts.select(*groups, _PART, F.max("_top").over(earlier).alias("_carried"))
+    tops = parts.select(
+        *groups, _PART, *[F.max(f"_top_{s}").over(earlier).alias(f"_from_{s}") for s in states.values()]
+    )
     before = Window.partitionBy(*groups, _PART).orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1
     )
     return laid.join(tops, [*groups, _PART]).select(
-        *rows.columns, F.greatest(F.max(state).over(before), F.col("_carried")).alias(out)
+        *rows.columns,
+        *[
+            F.greatest(F.max(s).over(before), F.col(f"_from_{s}")).alias(out)
+            for out, s in states.items()
+        ],
     )
 
 

@@ -74,7 +74,7 @@ def promotion_history(requests: DataFrame) -> DataFrame:
         ),
     )
     marked = marked.select(*requests.columns, "_state")
-    replay = best_before(marked, ["name"], "seq", "_state", "_live")
+    replay = best_before(marked, ["name"], "seq", {"_live": "_state"})
     return _decided(
         replay.select(
             *requests.columns,

@@ -21,11 +21,12 @@ from fleetwise.functions.scalars import (
 )
 from fleetwise.operators.ordered import running_totals
 from fleetwise.operators.projection import require_columns
-from fleetwise.shared import stored
+from fleetwise.shared import remove, stored
 from fleetwise.spec import DEFAULT, ROW_BUDGET, TelemetrySpec
 
 FINISHED = ("succeeded", "failed")
-STATES = ("queued", "running", *FINISHED)
+EVICTED = "evicted"
+STATES = ("queued", "running", *FINISHED, EVICTED)
 PAGE_LIMIT = 200  # fixed value: most rows of one page
 
 EVENT_SCHEMA = T.StructType(
@@ -181,7 +182,9 @@ class RunStore:
         self._event(run_id, "failed", error=str(error)[:ERROR_TEXT_LIMIT], at=at)
 
     def runs(self) -> DataFrame:
-        return current_state(self._table("run_events", EVENT_SCHEMA))
+        """All runs that are still stored."""
+        states = current_state(self._table("run_events", EVENT_SCHEMA))
+        return states.filter(F.col("status") != EVICTED)
 
     def append_readings(self, run_id: str, df: DataFrame) -> int:
         self.append_packed(pack_readings(df, self.spec).withColumn("run_id", F.lit(run_id)))
@@ -237,23 +240,25 @@ class RunStore:
         )
 
     def prune(self, budget: int = ROW_BUDGET, keep: Sequence[str] = ()) -> int:
-        """Drop the oldest finished runs from all tables; returns how many went."""
+        """Drop the oldest finished runs; returns how many went.
+
+        A run's files lie in folders of their own, so they are removed and nothing is rewritten;
+        the state log then notes the run as evicted.
+        """
         gone = stored(
             evictable(self.runs(), budget, keep, self.total_readings()).select("run_id"), "gone"
         )
         n = gone.count()
         if n:
-            for name, schema, keys in (
-                ("run_readings", READING_SCHEMA, ["run_id"]),
-                ("run_units", UNIT_SCHEMA, ["run_id", "model_version"]),
-                ("run_events", EVENT_SCHEMA, []),
-            ):
-                self._rewrite(name, schema, keys, gone)
+            for row in gone.toLocalIterator():
+                for name in ("run_readings", "run_units"):
+                    remove(self.spark, f"{self.root}/{name}/run_id={row['run_id']}")
+            none = {f.name: F.lit(None).cast(f.dataType) for f in EVENT_SCHEMA.fields[3:]}
+            events = gone.select(
+                "run_id",
+                F.lit(EVICTED).alias("status"),
+                F.current_timestamp().alias("at"),
+                *[c.alias(k) for k, c in none.items()],
+            )
+            events.write.mode("append").parquet(f"{self.root}/run_events")
         return n
-
-    def _rewrite(self, name: str, schema: T.StructType, keys: list[str], gone: DataFrame) -> None:
-        """Survivors are written beside the table first, then take its place."""
-        kept = stored(self._table(name, schema).join(gone, "run_id", "left_anti"), name)
-        kept.select(*schema.fieldNames()).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).partitionBy(*keys).parquet(f"{self.root}/{name}")

@@ -18,24 +18,17 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def ordered(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)]
-    plain = df.astype(object).where(df.notna(), None)
-    keys = plain.apply(lambda c: c.map(lambda v: (v is None, str(type(v)), v if v is not None else 0)))
-    order = keys.apply(tuple, axis=1).sort_values(kind="stable").index if len(df) else df.index
-    return plain.loc[order].reset_index(drop=True)
-
-
 def kinds(df: pd.DataFrame) -> dict[str, str]:
     return {c: df[c].dtype.kind for c in sorted(df.columns)}
 
 
 def differences(ours: pd.DataFrame, theirs: pd.DataFrame) -> list[str]:
+    """What keeps two results from holding the same rows, in any order."""
     if sorted(ours.columns) != sorted(theirs.columns):
         return [f"columns {sorted(ours.columns)} vs {sorted(theirs.columns)}"]
     if len(ours) != len(theirs):
         return [f"rows {len(ours)} vs {len(theirs)}"]
-    a, b = sorted_fast(ours), sorted_fast(theirs)
+    a, b = _sorted(ours), _sorted(theirs)
     out = []
     for c in a.columns:
         x, y = a[c], b[c]
@@ -46,13 +39,15 @@ def differences(ours: pd.DataFrame, theirs: pd.DataFrame) -> list[str]:
     return out
 
 
-def sorted_fast(df: pd.DataFrame) -> pd.DataFrame:
+def _sorted(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         if df[c].dtype.kind in "iu":
             df[c] = df[c].astype("float64")
         elif df[c].dtype.kind == "O":
-            number = df[c].map(lambda v: v is None or isinstance(v, (int, float)) and not isinstance(v, bool))
+            number = df[c].map(
+                lambda v: v is None or isinstance(v, (int, float)) and not isinstance(v, bool)
+            )
             if number.all():
                 df[c] = df[c].astype("float64")
     return df.sort_values(list(df.columns), kind="stable", na_position="last").reset_index(drop=True)
