@@ -21,6 +21,7 @@ from fleetwise.spec import (
 )
 
 _INF = float("inf")
+_ROUGH = 2000  # accuracy of the approximate pass of an exact quantile
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float) -> dict[str, float | None]:
@@ -30,9 +31,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], q: float) -> dict[str
     value per side before the shuffle, so only the narrow bracket is sorted. Should a bracket miss,
     the column is sorted as a whole.
     """
-    reach = 5e-4  # five times the rank error of the approximate pass
+    reach = 5.0 / _ROUGH  # five times the rank error of the approximate pass
     ends = [max(0.0, q - reach), min(1.0, q + reach)]
-    rough = df.agg(*[F.percentile_approx(c, ends, 10_000).alias(c) for c in columns]).first()
+    rough = df.agg(*[F.percentile_approx(c, ends, _ROUGH).alias(c) for c in columns]).first()
     brackets = {c: tuple(rough[c]) if rough[c] is not None else None for c in columns}
     found: dict[str, float | None] = {c: None for c in columns}
     todo = {c: b for c, b in brackets.items() if b is not None}

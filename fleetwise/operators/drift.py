@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwise.functions.scalars import total
+from fleetwise.operators.aggregates import moments_table
 from fleetwise.operators.ordered import running_totals
 from fleetwise.operators.projection import select_features
 from fleetwise.spec import DEFAULT, DRIFTED_SHARE, TelemetrySpec
@@ -55,7 +56,6 @@ def distances(reference: DataFrame, current: DataFrame, spec: TelemetrySpec = DE
     f, g = F.col("cum_n_ref") / F.col("all_n_ref"), F.col("cum_n_cur") / F.col("all_n_cur")
     both = (F.col("all_n_ref") > 0) & (F.col("all_n_cur") > 0)
     gap = F.when(both, F.abs(f - g))
-    n = F.col("n_ref").cast("double")
     sums = run.withColumn("_gap", gap).groupBy("signal").agg(
         F.sum("n_ref").alias("n_ref"),
         F.sum("n_cur").alias("n_cur"),
@@ -63,18 +63,8 @@ def distances(reference: DataFrame, current: DataFrame, spec: TelemetrySpec = DE
         F.sum(
             F.col("_gap") * F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
         ).alias("wasserstein"),
-        (F.sum(n * F.col("value")) / F.nullif(F.sum("n_ref"), F.lit(0))).alias("_mean"),
-    )
-    spread = (
-        run.join(sums.select("signal", "_mean"), "signal")
-        .groupBy("signal")
-        .agg(
-            F.sqrt(
-                F.sum(F.col("n_ref") * F.pow(F.col("value") - F.col("_mean"), F.lit(2.0)))
-                / F.nullif(F.sum("n_ref"), F.lit(0))
-            ).alias("ref_std")
-        )
     )
+    spread = moments_table(reference, spec).select("signal", F.col("std_pop").alias("ref_std"))
     a, b = F.col("n_ref").cast("double"), F.col("n_cur").cast("double")
     lam = F.sqrt(a * b / (a + b)) * F.col("ks")
     return sums.join(spread, "signal").select(

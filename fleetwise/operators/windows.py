@@ -57,17 +57,30 @@ def temporal_features(
         )
     made: list[Column] = []
     for s in spec.signals:
-        deviation = F.stddev_samp(s).over(frame)  # NULL below two values
-        enough = deviation.isNotNull() if "std" in stats else F.count(s).over(frame) >= 2
         each = {
-            "mean": F.when(enough, F.avg(s).over(frame)),
-            "std": deviation,
-            "slope": F.avg(f"_step_{s}").over(frame),
-            "delta": F.col(s) - F.lag(s, rows - 1).over(w),
+            "mean": [F.avg(s).over(frame), F.count(s).over(frame)],
+            "std": [F.stddev_samp(s).over(frame)],  # NULL below two values
+            "slope": [F.avg(f"_step_{s}").over(frame)],
+            "delta": [F.col(s) - F.lag(s, rows - 1).over(w)],
         }
-        made += [each[k].alias(f"{s}__{k}") for k in stats]
+        for k in stats:
+            made.append(each[k][0].alias(f"{s}__{k}"))
+            if k == "mean" and "std" not in stats:
+                made.append(each[k][1].alias(f"_count_{s}"))
     out = own_rows(blocks.select("*", *made), spec)
-    out = out.drop(*[f"_step_{s}" for s in spec.signals])
+    # guarded outside the window, where naming a window column again costs nothing
+    guard = {
+        f"{s}__mean": F.col(f"{s}__std").isNotNull() if "std" in stats else F.col(f"_count_{s}") >= 2
+        for s in spec.signals
+        if "mean" in stats
+    }
+    out = out.select(
+        *[
+            F.when(guard[c], F.col(c)).alias(c) if c in guard else F.col(c)
+            for c in out.columns
+            if not c.startswith(("_step_", "_count_"))
+        ]
+    )
     assert_no_leakage([c for c in out.columns if c not in keep], spec)
     return out
 
@@ -127,7 +140,7 @@ def shape_flags(
         *[
             F.when(
                 (F.count(f"_sign_{s}").over(creep) == steps)
-                & (F.abs(F.avg(f"_sign_{s}").over(creep)) >= share),
+                & (F.abs(F.sum(f"_sign_{s}").over(creep)) >= share * steps),
                 1,
             )
             .otherwise(0)

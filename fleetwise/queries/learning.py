@@ -10,7 +10,8 @@ from fleetwise.detectors.joint import (
     ReconstructionDetector,
     RobustDistance,
 )
-from fleetwise.detectors.ladder import SUSPECT, DetectorLadder, SuspectFeature
+from fleetwise.detectors.ladder import SUSPECT, DetectorLadder, SuspectFeature, score_ladder
+from fleetwise.functions.scalars import signals_from_map
 from fleetwise.learn import contenders as ct
 from fleetwise.learn import training as tr
 from fleetwise.operators import aggregates as agg
@@ -31,7 +32,6 @@ from fleetwise.queries.base import (
 from fleetwise.queries.tables import SHIFTS
 from fleetwise.shared import new_path
 from fleetwise.sources.predictions import LOG_SCHEMA
-from fleetwise.functions.scalars import signals_from_map
 from fleetwise.sources.stand_in import once, once_at, readings, readings_at, table
 from fleetwise.spec import DEFAULT, SIGNALS
 from fleetwise.streaming import jobs as st
@@ -86,6 +86,12 @@ def fit_score_ladder(spark, sf_dir):
     return model.transform(df.select(*KEY, *SIGNALS)).select(*KEY, *model.names)
 
 
+@query("detector_grades")
+def detector_grades(spark, sf_dir):
+    """The real ladder graded against the labels, which no detector sees."""
+    return score_ladder(readings(spark, sf_dir), trees=SMALL_FOREST)
+
+
 @query("signal_suspect")
 def signal_suspect(spark, sf_dir):
     df = readings(spark, sf_dir)
