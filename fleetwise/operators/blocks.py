@@ -17,6 +17,7 @@ from fleetwise.spec import TelemetrySpec
 
 BLOCK = "_block"
 POSITION = "_position"
+_GAP = "does not count 0, 1, 2, ... in every unit: name no position, and the rows are numbered first"
 
 
 def numbered(df: DataFrame, spec: TelemetrySpec) -> DataFrame:
@@ -51,9 +52,20 @@ def block_window(spec: TelemetrySpec) -> WindowSpec:
     return Window.partitionBy(spec.unit, BLOCK).orderBy(POSITION)
 
 
-def own_rows(df: DataFrame, spec: TelemetrySpec) -> DataFrame:
-    """Drop the context rows again."""
-    return df.filter(F.col(BLOCK) == home_block(spec)).drop(BLOCK, POSITION)
+def own_rows(df: DataFrame, spec: TelemetrySpec, *, keep_place: bool = False) -> DataFrame:
+    """Drop the context rows again, and fail if a named position column turns out to have gaps.
+
+    Every row but a unit's first must follow its predecessor. That is seen in the same sorted block,
+    so the promise costs no pass of its own.
+    """
+    own = F.col(BLOCK) == home_block(spec)
+    if spec.position is not None:
+        df = df.withColumn("_before", F.lag(POSITION).over(block_window(spec)))
+        follows = (F.col(POSITION) == 0) | (F.col("_before") == F.col(POSITION) - 1)
+        gap = F.raise_error(F.lit(f"{spec.position} {_GAP}")).cast("boolean")
+        own = own & F.when(F.coalesce(follows, F.lit(False)), True).otherwise(gap)
+    kept = df.filter(own).drop("_before")
+    return kept if keep_place else kept.drop(BLOCK, POSITION)
 
 
 def carried_max(df: DataFrame, spec: TelemetrySpec, marks: Sequence[str]) -> DataFrame:

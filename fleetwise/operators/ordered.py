@@ -2,7 +2,8 @@
 
 Both start from a range partitioning on the full sort key, which splits a group of any size at
 row granularity. Each partition is then numbered or summed alone, and the few partition totals
-give every partition its starting point.
+give every partition its starting point. The windows over those totals see one row per partition (and group),
+also when there is no group to partition them by.
 """
 
 from __future__ import annotations

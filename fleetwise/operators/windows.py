@@ -177,8 +177,7 @@ def equal_run(df: DataFrame, spec: TelemetrySpec = DEFAULT, *, keep: Sequence[st
         for s in spec.signals
     ]
     extra = [c for c in keep if c not in (*spec.key, *spec.signals)]
-    home = F.floor(F.col(POSITION) / F.lit(spec.block_rows)).cast("bigint")
-    marked = blocks.filter(F.col(BLOCK) == home).select(
+    marked = own_rows(blocks, spec, keep_place=True).select(
         *spec.key, *extra, BLOCK, POSITION, *resets
     )
     done = carried_max(marked, spec, [f"{s}__run" for s in spec.signals])
@@ -231,7 +230,7 @@ def smallest_step(df: DataFrame, spec: TelemetrySpec = DEFAULT) -> float:
     """Smallest positive time step inside any unit; 1 when there is none."""
     blocks = in_blocks(df.select(*dict.fromkeys([*spec.key, spec.clock])), spec, behind=1)
     step = F.col(spec.clock) - F.lag(spec.clock).over(block_window(spec))
-    steps = blocks.select(step.alias("step")).filter(F.col("step") > 0)
+    steps = own_rows(blocks.withColumn("step", step), spec).filter(F.col("step") > 0)
     return steps.agg(F.coalesce(F.min("step"), F.lit(1.0))).first()[0]
 
 

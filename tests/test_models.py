@@ -100,7 +100,8 @@ def test_ladder_catches_stuck_sensors(readings, ladder):
 
 def test_watcher_trips_on_outliers_only(readings):
     clean = readings.filter("NOT is_outlier AND failure_within_h = 0")
-    model = SuspectFeature(trees=30).fit(clean)
+    loose = DEFAULT.but(position=None)  # rows are missing in between
+    model = SuspectFeature(loose, trees=30).fit(clean)
     half_a, half_b = clean.filter("unit_id % 2 = 1"), clean.filter("unit_id % 2 = 0")
     baseline = max(suspect_rate(model.transform(half_a), SUSPECT, 0.35).first()["suspect_rate"], 0.005)
     assert not data_quality_check(model.transform(half_b), SUSPECT, baseline, flag=0.35).first()["tripped"]
@@ -137,6 +138,14 @@ def test_distances_match_numpy(spark):
     assert small["test"] == "ks" and small["drifted"]
 
 
+def test_a_signal_absent_from_one_batch_does_not_drift(spark):
+    spec = DEFAULT.but(signals=("a", "b"))
+    df = spark.createDataFrame([(float(i), None) for i in range(50)], "a double, b double")
+    other = spark.createDataFrame([(float(i), 1.0) for i in range(50)], "a double, b double")
+    got = dr.feature_drift(df, other, spec).toPandas().set_index("signal")
+    assert not got["drifted"].any() and pd.isna(got.loc["b", "ks"]) and got.loc["a", "ks"] == 0
+
+
 # -- classifiers ---------------------------------------------------------------------------------
 
 

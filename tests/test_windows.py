@@ -76,6 +76,15 @@ def test_rows_without_numbers_are_numbered_first(spark):
     pd.testing.assert_frame_equal(numbered, plain, check_exact=True)
 
 
+@pytest.mark.parametrize("missing", [3, 16, 40])
+def test_a_gap_in_the_positions_fails_loudly(spark, missing):
+    df = to_spark(spark, frame(3)).filter(~((F.col("unit_id") == 0) & (F.col("t_index") == missing)))
+    for op in (wn.temporal_features, wn.equal_run):
+        with pytest.raises(Exception, match="does not count"):
+            op(df, SPEC).write.format("noop").mode("overwrite").save()
+    assert wn.temporal_features(df, SPEC.but(position=None)).count() == df.count()
+
+
 def runs(values):
     out, length = [], 0
     for i, v in enumerate(values):
