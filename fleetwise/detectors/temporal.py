@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fleetwise.operators.aggregates import shape_rates
 from fleetwise.operators.projection import require_columns

@@ -28,7 +28,7 @@ def numbered(df: DataFrame, spec: TelemetrySpec) -> DataFrame:
 
 
 def home_block(spec: TelemetrySpec) -> Column:
-    return F.floor(F.col(POSITION) / F.lit(spec.block_rows)).cast("bigint")
+    return F.expr(f"{POSITION} div {spec.block_rows}")
 
 
 def in_blocks(df: DataFrame, spec: TelemetrySpec, *, behind: int = 0, ahead: int = 0) -> DataFrame:
@@ -38,14 +38,11 @@ def in_blocks(df: DataFrame, spec: TelemetrySpec, *, behind: int = 0, ahead: int
         raise ValueError(f"a frame of {behind}+{ahead} rows does not fit blocks of {size}")
     df = numbered(df, spec)
     home, spot = home_block(spec), F.pmod(F.col(POSITION), F.lit(size))
-    homes = [home]
-    if behind:
-        homes.append(F.when(spot >= size - behind, home + 1))
-    if ahead:
-        homes.append(F.when((spot < ahead) & (home > 0), home - 1))
-    if len(homes) == 1:
+    if not behind and not ahead:
         return df.withColumn(BLOCK, home)
-    return df.withColumn(BLOCK, F.explode(F.array_compact(F.array(*homes))))
+    last = F.when(spot >= size - behind, home + 1).otherwise(home)
+    first = F.when((spot < ahead) & (home > 0), home - 1).otherwise(home)
+    return df.withColumn(BLOCK, F.explode(F.sequence(first, last, F.lit(1).cast("bigint"))))
 
 
 def block_window(spec: TelemetrySpec) -> WindowSpec:
