@@ -1,9 +1,12 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and how long they live."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,33 +14,81 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is made only for a local master."""
+    """The cluster's checkpoint folder; a local one is made only for a single-process master."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="fleetwise-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+class Scope:
+    """Knows the folders that were made while it was the innermost one, and deletes them."""
 
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+    def clear(self) -> None:
+        while self.paths:
+            spark, path = self.paths.pop()
+            remove(spark, path)
+
+
+# The outermost scope ends with the program: tables behind a lazy result live until then.
+_scopes = [Scope()]
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    """Tables stored inside the block are deleted at its end.
+
+    Take out of the block only what no longer reads them: values, or a frame written elsewhere
+    (``kept``).
+    """
+    inner = Scope()
+    _scopes.append(inner)
+    try:
+        yield inner
+    finally:
+        _scopes.remove(inner)
+        inner.clear()
+
+
+@atexit.register
+def _end() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        _scopes[0].clear()
+
+
+def new_path(spark: SparkSession, label: str, outer: bool = False) -> str:
+    """A fresh folder name; ``outer`` books it on the scope around the innermost one."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _scopes[max(0, len(_scopes) - 2) if outer else -1].paths.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, label: str, outer: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     The written table fixes what a plan with several branches sees, survives the loss of an
-    executor, and keeps column pruning and filter pushdown for its readers.
+    executor, and keeps column pruning and filter pushdown for its readers. It lives as long as
+    the scope it was made in.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = new_path(spark, label, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` for the result of a scoped block: it outlives the block, not the one around."""
+    return stored(df, label, outer=True)
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a folder on whatever file system it lies."""
     jvm = spark.sparkContext._jvm
