@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwise.llm import jaccard
+from fleetwise.llm import jaccard, pieces, toxicity, winnow
+
+# The vocabulary file of the piece encoder; a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,3 +56,47 @@ FROM documents d JOIN reach r USING (doc_id) LEFT JOIN sizes s USING (doc_id) GR
 @query("op1_ngram_jaccard_join", JACCARD_SQL)
 def op1(spark, sf_dir):
     return jaccard.similarity_groups(table(spark, sf_dir, "documents"), jaccard.Similarity(words=3, num=9, den=10))
+
+
+WINNOW_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+runs AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS run
+  FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM runs),
+hits AS (SELECT d.doc_id, s.i AS i, lens.n AS n, r.item_id
+  FROM d, lens, unnest(generate_series(1, len(d.w) - lens.n + 1)) AS s(i), runs r
+  WHERE len(d.w) >= lens.n AND r.n = lens.n AND r.run = array_to_string(d.w[s.i:s.i + lens.n - 1], ' ')),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(generate_series(i, i + n - 1)) AS q(p) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit,
+  coalesce(m.n_items, 0)::BIGINT AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256,
+  coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
+"""
+
+
+@query("op4_benchmark_decontamination", WINNOW_SQL)
+def op4(spark, sf_dir):
+    found = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return winnow.digests(found)
+
+
+@query("op9_piece_encoding")
+def op9(spark, sf_dir):
+    return pieces.encoded_and_back(table(spark, sf_dir, "documents"), pieces.load(PIECES))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(docs.where(~out), labels)
+    return toxicity.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", "predicted", "worst"
+    )
