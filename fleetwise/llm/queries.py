@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwise.llm import jaccard, pieces, toxicity, winnow
+from fleetwise.llm import jaccard, pieces, ppm, toxicity, winnow
 
 # The vocabulary file of the piece encoder; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -100,3 +100,12 @@ def op10(spark, sf_dir):
     return toxicity.score(docs, model).select(
         "doc_id", out.alias("held_out"), "score", "predicted", "worst"
     )
+
+
+@query("op5_lm_scoring")
+def op5(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = ppm.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", ~F.col("train")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
