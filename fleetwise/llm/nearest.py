@@ -114,7 +114,7 @@ def search(tree: Tree, query_ids, queries: np.ndarray, floors, k: int) -> list[t
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy().reshape(-1, width)
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), width)
 
 
 KIND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])

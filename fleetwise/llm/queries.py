@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwise.llm import chat, jaccard, nearest, pieces, ppm, shards, toxicity, urls, winnow
+from fleetwise.llm import chat, jaccard, licenses, nearest, pieces, ppm, shards, toxicity, urls, winnow
 
 # The vocabulary file of the piece encoder; a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -177,3 +177,58 @@ def op7(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
+
+
+def _license_sql() -> str:
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    notices = ", ".join(f"({i}, {text(n)}, {text(t)})" for i, (n, t) in enumerate(licenses.NOTICES))
+    stop = ", ".join(text(w) for w in licenses.STOP)
+    words = (
+        "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+        r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {notices}) AS v(template, licence, text)),
+tw AS (SELECT template, licence, w, count(*) AS tf FROM (
+  SELECT template, licence, unnest({words.format("text")}) AS w FROM t) WHERE w NOT IN ({stop}) GROUP BY ALL),
+idf AS (SELECT w, ln({1 + len(licenses.NOTICES)}.0 / (1 + count(*))) + 1 AS idf FROM tw GROUP BY w),
+tx AS (SELECT template, licence, tw.w, tf * idf AS x FROM tw JOIN idf ON tw.w = idf.w),
+tn AS (SELECT template, sqrt(sum(x * x)) AS norm FROM tx GROUP BY template),
+files AS (SELECT doc_id, source || '/' || lang || '/' || doc_id AS path, source || '/' || lang AS folder, text,
+  len({words.format("text")}) AS all_words FROM documents),
+units AS (SELECT DISTINCT doc_id, unit FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM files
+  UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) FROM files)),
+uw AS (SELECT doc_id, unit, w, count(*) AS tf FROM (
+  SELECT doc_id, unit, unnest({words.format("unit")}) AS w FROM units) WHERE w NOT IN ({stop}) GROUP BY ALL),
+ux AS (SELECT doc_id, unit, uw.w, tf * coalesce(idf, ln({1 + len(licenses.NOTICES)}.0) + 1) AS x FROM uw LEFT JOIN idf ON uw.w = idf.w),
+un AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm FROM ux GROUP BY ALL),
+dots AS (SELECT ux.doc_id, ux.unit, tx.template, tx.licence, sum(ux.x * tx.x) AS dot FROM ux JOIN tx ON ux.w = tx.w GROUP BY ALL),
+close AS (SELECT d.doc_id, d.unit, d.licence, round(dot / (un.norm * tn.norm), 9) AS cosine FROM dots d
+  JOIN un ON un.doc_id = d.doc_id AND un.unit = d.unit JOIN tn ON tn.template = d.template
+  WHERE dot / (un.norm * tn.norm) >= 0.75 - 1e-9),
+best AS (SELECT doc_id, unit, licence, cosine FROM close
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY cosine DESC, licence) = 1),
+own AS (SELECT doc_id, licence, cosine FROM best
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+speaks AS (SELECT f.folder, f.path, b.licence, b.cosine FROM best b JOIN files f USING (doc_id)
+  WHERE len({words.format("b.unit")}) >= 0.25 * f.all_words),
+given AS (SELECT folder, licence AS given FROM speaks
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, path, licence) = 1)
+SELECT f.doc_id, f.path, coalesce(o.licence, g.given) AS licence, round(o.cosine, 6) AS cosine,
+  CASE WHEN o.licence IS NOT NULL THEN 'header' WHEN g.given IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN o.licence IS NULL AND g.given IS NOT NULL THEN f.folder END AS licence_folder
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN given g USING (folder)
+"""
+
+
+@query("op8_license_scans", _license_sql())
+def op8(spark, sf_dir):
+    """Documents stand for files in folders by source and language."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    found = licenses.scan(files)
+    return found.select(
+        F.regexp_extract("path", "([^/]*)$", 1).cast("bigint").alias("doc_id"), "path", "licence",
+        F.round("cosine", 6).alias("cosine"), "origin", "licence_folder",
+    )
