@@ -66,6 +66,21 @@ def balanced(label: str, p: Profile):
     return F.when(F.col(label) == 1, F.lit(pos)).otherwise(F.lit(neg))
 
 
+def repeated(rows: DataFrame, label: str, p: Profile, seed: int) -> DataFrame:
+    """Rows of the rarer class as often as makes the classes equal, for fits without weights.
+
+    Each comes the whole number of times, and once more with the chance of the remainder, drawn by
+    a seeded hash of the row.
+    """
+    rare = 1 if p.positives <= p.rows - p.positives else 0
+    few = p.positives if rare else p.rows - p.positives
+    whole, part = divmod((p.rows - few) / few, 1.0)
+    draw = F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 20)) / float(1 << 20)
+    times = F.lit(int(whole)) + (draw < part).cast("int")
+    each = F.when(F.col(label) == rare, times).otherwise(1)
+    return rows.withColumn("_turn", F.explode(F.array_repeat(F.lit(0), each))).drop("_turn")
+
+
 @dataclass(frozen=True)
 class Fitted:
     """A fitted contender. ``score`` adds the probability of the positive class."""
@@ -136,6 +151,8 @@ class Contender:
             tuple(c for c in present if p.present[c] < p.rows) if self.name == "boosted" else ()
         )
         rows = df.select(*features, F.col(label).cast("double").alias(label))
+        if self.params.get("repeat_rare"):
+            rows = repeated(rows, label, p, int(self.params["seed"]))
         rows = rows.withColumn(WEIGHT, balanced(label, p))
         ready = _prepared(rows, self.name, present, marked).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -186,6 +203,28 @@ def logreg_model(seed: int = SEED, overrides: Mapping[str, object] | None = None
     return Contender("logreg", {**params, "seed": seed}, build)
 
 
+def stack_model(seed: int = SEED, *, c: float = 1.0, max_iter: int = 1000) -> Contender:
+    """Logistic regression with balanced classes over scores as they are: no fill, no scaling."""
+    params = {"C": c, "max_iter": max_iter}
+
+    def build(p: Profile, values: list[str], marks: list[str], label: str) -> Pipeline:
+        return Pipeline(
+            stages=[
+                VectorAssembler(inputCols=values, outputCol="_raw"),
+                LogisticRegression(
+                    featuresCol="_raw",
+                    labelCol=label,
+                    weightCol=WEIGHT,
+                    regParam=1.0 / (c * p.rows),
+                    standardization=False,
+                    maxIter=max_iter,
+                ),
+            ]
+        )
+
+    return Contender("logreg", {**params, "seed": seed}, build)
+
+
 def boosted_model(seed: int = SEED, overrides: Mapping[str, object] | None = None) -> Contender:
     """Boosted trees with balanced classes; a missing value is its own branch."""
     params = _checked(overrides, BOOSTED_TUNABLE, BOOSTED_DEFAULTS, "boosted")
@@ -217,9 +256,13 @@ def sequence_model(
     *,
     hidden: int = 16,
     max_iter: int = 100,
+    repeat_rare: bool = True,
 ) -> Contender:
-    """A small perceptron over the window arrays, laid end to end."""
-    params = {"hidden": hidden, "max_iter": max_iter}
+    """A small perceptron over the window arrays, laid end to end.
+
+    MLlib's perceptron knows no weights; ``repeat_rare`` balances the classes of the rows it is fitted on.
+    """
+    params = {"hidden": hidden, "max_iter": max_iter, "repeat_rare": repeat_rare}
     cells = 2 * len(spec.signals) * spec.window_rows
 
     def build(p: Profile, values: list[str], marks: list[str], label: str) -> Pipeline:

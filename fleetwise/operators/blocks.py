@@ -23,7 +23,8 @@ _GAP = "does not count 0, 1, 2, ... in every unit: name no position, and the row
 def numbered(df: DataFrame, spec: TelemetrySpec) -> DataFrame:
     """Add a gapless row number per unit when the table has none."""
     if spec.position is not None:
-        return df.withColumn(POSITION, F.col(spec.position).cast("bigint"))
+        absent = F.raise_error(F.lit(f"{spec.position} is NULL in some row")).cast("bigint")
+        return df.withColumn(POSITION, F.coalesce(F.col(spec.position).cast("bigint"), absent))
     return rank_within(df, [spec.unit], [spec.time], POSITION)
 
 

@@ -11,8 +11,7 @@ from fleetwise.operators.ordered import running_totals
 from fleetwise.operators.projection import select_features
 from fleetwise.spec import DEFAULT, DRIFTED_SHARE, TelemetrySpec
 
-# Which test decides, and its cut.
-SMALL_REFERENCE = 1000  # up to here the KS p-value decides, above it the normed distance
+# The cuts of the two tests.
 P_VALUE_CUT = 0.05
 DISTANCE_CUT = 0.1
 SCALE_FLOOR = 0.001
@@ -86,17 +85,20 @@ def feature_drift(
     current: DataFrame,
     spec: TelemetrySpec = DEFAULT,
     *,
-    small_reference: int = SMALL_REFERENCE,
+    test: str = "wasserstein",
     p_cut: float = P_VALUE_CUT,
     distance_cut: float = DISTANCE_CUT,
 ) -> DataFrame:
-    by_ks = F.col("n_ref") <= small_reference
-    flag = F.when(by_ks, F.col("ks_p_value") < p_cut).otherwise(
-        F.col("wasserstein_norm") >= distance_cut
-    )
+    """Which signals have drifted, by ``test`` for batches of every size: ``wasserstein`` compares the
+    normed distance with ``distance_cut``, ``ks`` the p-value with ``p_cut``. The p-value of large
+    batches falls below any cut for differences that do not matter."""
+    if test not in ("wasserstein", "ks"):
+        raise ValueError(f"test is wasserstein or ks, not {test}")
+    by_ks = test == "ks"
+    flag = F.col("ks_p_value") < p_cut if by_ks else F.col("wasserstein_norm") >= distance_cut
     return distances(reference, current, spec).select(
         "*",
-        F.when(by_ks, "ks").otherwise("wasserstein").alias("test"),
+        F.lit(test).alias("test"),
         F.coalesce(flag, F.lit(False)).alias("drifted"),
     )
 

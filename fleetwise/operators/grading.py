@@ -37,9 +37,17 @@ def _count_where(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
+def graded(df: DataFrame, score: str) -> DataFrame:
+    """``df``, which fails when a score is NaN: NaN sorts above all numbers and would alarm first."""
+    if df.schema[score].dataType.typeName() not in ("double", "float"):
+        return df
+    bad = F.raise_error(F.lit(f"{score} is NaN in some row")).cast(df.schema[score].dataType)
+    return df.withColumn(score, F.when(F.isnan(score), bad).otherwise(F.col(score)))
+
+
 def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and positives per distinct score."""
-    return df.groupBy(*by, score).agg(
+    return graded(df, score).groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("n"), _count_where(F.col(label).cast("int") == 1).alias("pos")
     )
 
@@ -108,7 +116,7 @@ def budget_rows(n: Column, budget: float) -> Column:
 
 def alarm_cut(df: DataFrame, score: str, budget: float = ALARM_BUDGET) -> float | None:
     """Lowest score that still alarms; None when even the top tie overflows the budget."""
-    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"))
+    counts = graded(df, score).groupBy(score).agg(F.count(F.lit(1)).alias("n"))
     run = running_totals(counts, [], score, ["n"], descending=True)
     return run.filter(F.col("cum_n") <= budget_rows(F.col("all_n"), budget)).agg(F.min(score)).first()[0]
 

@@ -31,11 +31,6 @@ SYNONYMS = {
 EXACT, SYNONYM, CUT = 1.0, 0.95, 0.6
 
 
-def synonym_table(spark: SparkSession, spec: TelemetrySpec = DEFAULT) -> DataFrame:
-    rows = [(s, w) for s in spec.signals for w in SYNONYMS.get(s, ())]
-    return spark.createDataFrame(rows, "signal string, synonym string")
-
-
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 minus the edit distance over the longer length."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -50,7 +45,7 @@ def matching_ratio(at_least: float = 0.0):
 
     @F.pandas_udf("double")
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        matcher, held = SequenceMatcher(None), None
+        matcher, held = SequenceMatcher(None, autojunk=False), None
         for signals, names in batches:
             out = []
             for signal, name in zip(signals, names):
@@ -70,13 +65,13 @@ def pair_scores(
     header: str,
     spec: TelemetrySpec = DEFAULT,
     *,
-    ratio: str = "matching",
+    ratio: str = "edit",
     at_least: float = 0.0,
 ) -> DataFrame:
     """(header, signal, score) of every distinct header with every signal.
 
-    Distinct plain names are scored once, however many files use them. ``ratio`` is "matching", the
-    default, or "edit" for a JVM-only score. Pairs under
+    Distinct plain names are scored once, however many files use them. ``ratio`` is "edit", the
+    default, or "matching", which calls Python once per pair. Pairs under
     ``at_least`` may be left out or given as 0, which spares most of the work.
     """
     names = headers.select(F.col(header).alias("header")).distinct()
@@ -121,10 +116,14 @@ def match_headers(
     spec: TelemetrySpec = DEFAULT,
     *,
     cut: float = CUT,
-    ratio: str = "matching",
+    ratio: str = "edit",
 ) -> DataFrame:
     """For every file, the header proposed for each signal: best pairs first, each used once.
 
+    Of equal scores the signal that comes first in the spec goes first, then the header that comes
+    first in the file. With the ``edit`` ratio all of it stays in the JVM; ``matching`` calls Python
+    once per pair of distinct names.
+
     A file may hold any number of headers. Whatever the other signals take, a signal ends up with
     one of its own best ``len(signals)`` headers, so only those reach the assignment.
     """
@@ -135,22 +134,25 @@ def match_headers(
     pairs = listed.join(scores.withColumnRenamed("header", header), header)
     best = Window.partitionBy(file, "signal").orderBy(F.desc("score"), "_position")
     pairs = pairs.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= n)
-    order = {s: i for i, s in enumerate(spec.signals)}
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_order=pdf["signal"].map(order))
-        pdf = pdf.sort_values(["score", "_order", "_position"], ascending=[False, True, True])
-        taken_signals, taken_headers, rows = set(), set(), []
-        for r in pdf[[file, "signal", header, "score"]].itertuples(index=False, name=None):
-            if r[1] not in taken_signals and r[2] not in taken_headers:
-                taken_signals.add(r[1])
-                taken_headers.add(r[2])
-                rows.append(r)
-        return pd.DataFrame(rows, columns=[file, "signal", header, "score"])
-
-    kind = catalogue.schema[file].dataType.simpleString()
-    return pairs.groupBy(file).applyInPandas(
-        assign, f"`{file}` {kind}, signal string, `{header}` string, score double"
+    order = F.create_map(*[F.lit(x) for i, s in enumerate(spec.signals) for x in (s, i)])
+    pair = F.struct(
+        (-F.col("score")).alias("far"),
+        order[F.col("signal")].alias("place"),
+        F.col("_position").alias("position"),
+        "signal",
+        F.col(header).alias("header"),
+    )
+    # at most len(signals) ** 2 pairs per file, best first
+    ranked = pairs.groupBy(file).agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
+    kind = ranked.schema["_pairs"].dataType.simpleString()
+
+    def take(taken: Column, p: Column) -> Column:
+        used = F.exists(taken, lambda t: (t["signal"] == p["signal"]) | (t["header"] == p["header"]))
+        return F.when(used, taken).otherwise(F.concat(taken, F.array(p)))
+
+    chosen = F.aggregate("_pairs", F.array().cast(kind), take)
+    return ranked.select(file, F.explode(chosen).alias("_p")).select(
+        file, F.col("_p.signal").alias("signal"), F.col("_p.header").alias(header), (-F.col("_p.far")).alias("score")
     )
 
 

@@ -9,6 +9,8 @@ also when there is no group to partition them by.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,14 @@ _PART, _AT = "_part", "_at"
 _PART_SHIFT = 33  # monotonically_increasing_id keeps the row's place in its low 33 bits
 
 
+def _with_parts(laid: DataFrame, parts: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Join what is known of every partition (and group) to its rows; a NULL group is a group."""
+    keys = [*groups, _PART]
+    named = parts.withColumnsRenamed({k: f"_of{k}" for k in keys})
+    same = reduce(and_, [laid[k].eqNullSafe(named[f"_of{k}"]) for k in keys])
+    return laid.join(named, same)
+
+
 def rank_within(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str, *, start: int = 0
 ) -> DataFrame:
@@ -40,7 +50,7 @@ def rank_within(
     )
     shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + F.lit(start)
     shifts = sizes.select(*groups, _PART, shift.alias("_shift"))
-    return laid.join(shifts, [*groups, _PART]).select(
+    return _with_parts(laid, shifts, groups).select(
         *df.columns, (F.col(_AT) + F.col("_shift")).cast("bigint").alias(out)
     )
 
@@ -79,7 +89,7 @@ def running_totals(
     )
     inside = Window.partitionBy(*groups, _PART).orderBy(way(value))
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return laid.join(starts, [*groups, _PART]).select(
+    return _with_parts(laid, starts, groups).select(
         *counts.columns,
         F.coalesce(F.lead(value).over(inside), F.col("_next_edge")).alias("next_value"),
         *[(F.col(f"_from_{m}") + F.sum(m).over(upto)).alias(f"cum_{m}") for m in measures],
@@ -105,7 +115,7 @@ def best_before(
     before = Window.partitionBy(*groups, _PART).orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return laid.join(tops, [*groups, _PART]).select(
+    return _with_parts(laid, tops, groups).select(
         *rows.columns,
         *[
             F.greatest(F.max(s).over(before), F.col(f"_from_{s}")).alias(out)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwise.functions.scalars import finite_or, one_hot
-from fleetwise.learn.contenders import Contender, boosted_model, logreg_model, sequence_model
+from fleetwise.learn.contenders import Contender, boosted_model, stack_model, sequence_model
 from fleetwise.learn.training import oof_predictions, side
 from fleetwise.operators.aggregates import signal_moments
 from fleetwise.operators.grading import (
@@ -131,7 +131,7 @@ def stacking_probe(
         names.append(name)
     train, test = stored(train.dropna(subset=names), "stack_train"), stored(test, "stack_test")
     alone = {n: auc_of(test, n, spec.target) for n in names}
-    meta = logreg_model(seed).fit(train, names, spec)
+    meta = stack_model(seed).fit(train, names, spec)
     stack = auc_of(meta.score(test), "probability", spec.target)
     best = max(names, key=lambda n: alone[n])
     rows = [(n, alone[n], n == best, None, None) for n in names]

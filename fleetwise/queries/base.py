@@ -49,8 +49,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def on_readings(body: str, *ctes: str) -> str:
     """SQL over ``readings`` and ``scored``."""
     parts = [
-        f"readings AS ({readings_sql()})",
-        f"scored AS (SELECT *, {SCORE} AS score FROM readings)",
+        f"readings AS MATERIALIZED ({readings_sql()})",
+        f"scored AS MATERIALIZED (SELECT *, {SCORE} AS score FROM readings)",
         *ctes,
     ]
     return "WITH " + ",\n".join(parts) + "\n" + body

@@ -29,7 +29,7 @@ from fleetwise.queries.base import (
     rounded_columns,
     scored,
 )
-from fleetwise.queries.tables import SHIFTS
+from fleetwise.queries.tables import _PAIRS, _SIGNALS, _WORDS, SHIFTS
 from fleetwise.shared import new_path
 from fleetwise.sources.predictions import LOG_SCHEMA
 from fleetwise.sources.stand_in import once, once_at, readings, readings_at, table
@@ -273,7 +273,27 @@ def header_catalogue(spark, sf_dir):
     return words
 
 
-@query("match_headers")
+_MATCH = f"""WITH RECURSIVE listed AS (SELECT doc_id, header, min(position) AS position FROM (
+  SELECT doc_id, unnest(w) AS header, generate_subscripts(w, 1) - 1 AS position FROM (
+    SELECT doc_id, regexp_split_to_array(text, '\\s+') AS w FROM documents)) GROUP BY doc_id, header),
+names AS (SELECT DISTINCT header FROM listed), {_SIGNALS}, {_WORDS},
+scores AS (SELECT * FROM ({_PAIRS.replace("$near", "1e0 - levenshtein(s, h) / CAST(greatest(length(s), length(h)) AS DOUBLE)")}) WHERE score >= 0.6e0),
+pairs AS (SELECT doc_id, signal, l.header, score, position,
+  list_position([{", ".join(f"'{s}'" for s in SIGNALS)}], signal) AS place FROM listed l JOIN scores s ON s.header = l.header),
+best AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY doc_id, signal ORDER BY score DESC, position) <= {len(SIGNALS)}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place, position) AS r FROM best),
+walk(doc_id, r, signals, headers, took) AS (
+  SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false FROM ranked
+  UNION ALL
+  SELECT w.doc_id, p.r,
+    CASE WHEN list_contains(w.signals, p.signal) OR list_contains(w.headers, p.header) THEN w.signals ELSE list_append(w.signals, p.signal) END,
+    CASE WHEN list_contains(w.signals, p.signal) OR list_contains(w.headers, p.header) THEN w.headers ELSE list_append(w.headers, p.header) END,
+    NOT (list_contains(w.signals, p.signal) OR list_contains(w.headers, p.header))
+  FROM walk w JOIN ranked p ON p.doc_id = w.doc_id AND p.r = w.r + 1)
+SELECT p.doc_id, p.signal, p.header, {rd("p.score")} AS score FROM walk w JOIN ranked p ON p.doc_id = w.doc_id AND p.r = w.r WHERE w.took"""
+
+
+@query("match_headers", _MATCH)
 def match_headers(spark, sf_dir):
     out = hd.match_headers(header_catalogue(spark, sf_dir), "doc_id", "header", "position")
     return rounded_columns(out, ["score"])

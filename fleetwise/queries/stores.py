@@ -70,7 +70,7 @@ def unpack_run_readings(spark, sf_dir):
     "page_readings",
     on_readings(
         f"SELECT * FROM (SELECT CAST(unit_id AS VARCHAR) AS unit_id, t_index, {_WIDE} FROM readings WHERE unit_id % 7 = 2) "
-        "ORDER BY unit_id, t_index LIMIT 200 OFFSET 150"
+        "ORDER BY unit_id, t_index LIMIT 1000 OFFSET 150"
     ),
 )
 def page_readings(spark, sf_dir):
@@ -217,7 +217,7 @@ def _logged(spark, sf_dir):
     path = new_path(spark, "predictions")
     wide = F.map_concat(
         F.map_from_arrays(
-            F.array(*[F.lit(s) for s in SIGNALS[:8]]), F.array(*[F.col(s) for s in SIGNALS[:8]])
+            F.array(*[F.lit(s) for s in SIGNALS]), F.array(*[F.col(s) for s in SIGNALS])
         ),
         F.create_map(F.lit("stranger"), F.lit(1.0)),
     )
@@ -233,7 +233,7 @@ def _logged(spark, sf_dir):
 
 
 _LOG = f"""logged AS (SELECT CAST(timestamp_h * 3600e0 + unit_id AS BIGINT) AS created_at, '7' AS model_version,
-  score AS failure_probability, 9 AS n_keys, {COLUMNS.replace('vibration_mms', 'CAST(NULL AS DOUBLE) AS vibration_mms')} FROM scored)"""
+  score AS failure_probability, 9 AS n_keys, {COLUMNS} FROM scored)"""
 
 
 def _shown(log):

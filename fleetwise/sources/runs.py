@@ -27,7 +27,6 @@ from fleetwise.spec import DEFAULT, ROW_BUDGET, TelemetrySpec
 FINISHED = ("succeeded", "failed")
 EVICTED = "evicted"
 STATES = ("queued", "running", *FINISHED, EVICTED)
-PAGE_LIMIT = 200  # fixed value: most rows of one page
 
 EVENT_SCHEMA = T.StructType(
     [
@@ -78,9 +77,19 @@ def unpack_readings(df: DataFrame, spec: TelemetrySpec = DEFAULT) -> DataFrame:
     return df.select("unit_id", "t_index", *signals_from_map(F.col("readings"), spec.signals))
 
 
-def page_of(df: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
-    limit = max(1, min(int(limit), PAGE_LIMIT))
-    return df.orderBy("unit_id", "t_index").offset(max(0, int(offset))).limit(limit)
+def page_of(
+    df: DataFrame, offset: int = 0, limit: int = 50, after: tuple[str, int] | None = None
+) -> DataFrame:
+    """``limit`` rows by unit and time, behind the row ``after`` (unit, t) or behind ``offset`` rows.
+
+    ``after`` is the way through a long table: rows up to it are filtered out, and every task keeps
+    ``limit`` rows. With ``offset`` every task keeps ``offset + limit``, so it is for the first pages.
+    """
+    if after is not None:
+        unit, t = after
+        later = (F.col("unit_id") > unit) | ((F.col("unit_id") == unit) & (F.col("t_index") > t))
+        df = df.filter(later)
+    return df.orderBy("unit_id", "t_index").offset(max(0, int(offset))).limit(max(1, int(limit)))
 
 
 def current_state(events: DataFrame) -> DataFrame:
@@ -206,8 +215,10 @@ class RunStore:
     def readings(self, run_id: str) -> DataFrame:
         return unpack_readings(self.run_rows(run_id), self.spec)
 
-    def page(self, run_id: str, offset: int = 0, limit: int = 50) -> DataFrame:
-        return unpack_readings(page_of(self.run_rows(run_id), offset, limit), self.spec)
+    def page(
+        self, run_id: str, offset: int = 0, limit: int = 50, after: tuple[str, int] | None = None
+    ) -> DataFrame:
+        return unpack_readings(page_of(self.run_rows(run_id), offset, limit, after), self.spec)
 
     def count_readings(self, run_id: str) -> int:
         return self.run_rows(run_id).count()
@@ -242,17 +253,14 @@ class RunStore:
     def prune(self, budget: int = ROW_BUDGET, keep: Sequence[str] = ()) -> int:
         """Drop the oldest finished runs; returns how many went.
 
-        A run's files lie in folders of their own, so they are removed and nothing is rewritten;
-        the state log then notes the run as evicted.
+        The state log notes the runs as evicted before anything is removed: a job that dies in
+        between leaves files that no run names, never a run without its rows. ``sweep`` removes them.
         """
         gone = stored(
             evictable(self.runs(), budget, keep, self.total_readings()).select("run_id"), "gone"
         )
         n = gone.count()
         if n:
-            for row in gone.toLocalIterator():
-                for name in ("run_readings", "run_units"):
-                    remove(self.spark, f"{self.root}/{name}/run_id={row['run_id']}")
             none = {f.name: F.lit(None).cast(f.dataType) for f in EVENT_SCHEMA.fields[3:]}
             events = gone.select(
                 "run_id",
@@ -261,4 +269,18 @@ class RunStore:
                 *[c.alias(k) for k, c in none.items()],
             )
             events.write.mode("append").parquet(f"{self.root}/run_events")
+            self.sweep(gone)
         return n
+
+    def sweep(self, gone: DataFrame | None = None) -> None:
+        """Remove the folders of evicted runs: of ``gone``, by default of all that were ever evicted.
+
+        A run's files lie in folders of their own, so nothing is rewritten. These are file-system calls,
+        two per run; no rows come to the driver but the run names, one at a time.
+        """
+        if gone is None:
+            states = current_state(self._table("run_events", EVENT_SCHEMA))
+            gone = states.filter(F.col("status") == EVICTED).select("run_id")
+        for row in gone.toLocalIterator():
+            for name in ("run_readings", "run_units"):
+                remove(self.spark, f"{self.root}/{name}/run_id={row['run_id']}")

@@ -1,7 +1,6 @@
 """Guards, batches, stored runs, the log, the gate and header matching."""
 
 from datetime import datetime, timedelta, timezone
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -309,19 +308,20 @@ def test_missing_modes_are_reported(readings):
 MESSY = ["RPM", "Coolant Temp", "oil_press", "Load%", "fuel", "boost", "EGT", "DEF", "vibration", "unrelated_col"]
 
 
-def brute_mapping(headers):
-    plain = lambda x: "".join(c for c in x.lower() if c.isalnum())
-    pairs = []
-    for s in SIGNALS:
-        for h in headers:
-            a, b = plain(s), plain(h)
-            score = 0.0 if not b else 1.0 if a == b else 0.95 if b in hd.SYNONYMS[s] else SequenceMatcher(None, a, b).ratio()
-            pairs.append((score, s, h))
-    pairs.sort(key=lambda p: p[0], reverse=True)
-    out = {s: None for s in SIGNALS}
-    for score, s, h in pairs:
-        if score >= 0.6 and out[s] is None and h not in out.values():
-            out[s] = h
+def faults(headers, proposal, score):
+    """What is wrong with a proposal, said without building one."""
+    out, used = [], [h for h in proposal.values() if h is not None]
+    if len(used) != len(set(used)):
+        out.append("a header is used twice")
+    for s, h in proposal.items():
+        own = score[s, h] if h is not None else 0.6
+        if h is not None and own < 0.6:
+            out.append(f"{s}: {h} is below the cut")
+        for other in headers:
+            holder = next((t for t, g in proposal.items() if g == other), None)
+            theirs = score[holder, other] if holder else -1.0
+            if score[s, other] > own + 1e-12 and score[s, other] > theirs + 1e-12 and score[s, other] >= 0.6:
+                out.append(f"{s} and {other} would both rather have each other")
     return out
 
 
@@ -330,7 +330,7 @@ def test_messy_headers(spark):
     assert got == dict(zip(SIGNALS, MESSY))
 
 
-def test_catalogue_matches_brute_force(spark):
+def test_no_pair_beats_an_assigned_one(spark):
     rng = np.random.default_rng(8)
     words = [*SIGNALS, *MESSY, "oil_pressure", "boost_press", "coolant_temperature", "engine", "load_pct",
              "vibration_mm", "def_level", "EGT_C", "temp", "fuel_rate", "pressure_kpa", "speed", "", "Öl-Druck"]
@@ -339,10 +339,13 @@ def test_catalogue_matches_brute_force(spark):
     }
     rows = [(f, h, i) for f, hs in files.items() for i, h in enumerate(hs)]
     catalogue = spark.createDataFrame(rows, "file int, header string, position int")
-    got = {f: {s: None for s in SIGNALS} for f in files}
-    for r in hd.match_headers(catalogue, "file", "header", "position").collect():
-        got[r["file"]][r["signal"]] = r["header"]
-    assert got == {f: brute_mapping(hs) for f, hs in files.items()}
+    for ratio in ("edit", "matching"):
+        scores = hd.pair_scores(catalogue, "header", ratio=ratio)
+        score = {(r["signal"], r["header"]): r["score"] for r in scores.collect()}
+        got = {f: {s: None for s in SIGNALS} for f in files}
+        for r in hd.match_headers(catalogue, "file", "header", "position", ratio=ratio).collect():
+            got[r["file"]][r["signal"]] = r["header"]
+        assert {f: faults(hs, got[f], score) for f, hs in files.items()} == {f: [] for f in files}
 
 
 def test_plain_names_keep_other_alphabets(spark):
