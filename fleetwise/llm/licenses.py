@@ -7,7 +7,9 @@ threshold.
 
 Whole texts are searched, but only few units need vectors: take the terms of a template by falling
 weight until the squares of the rest sum up to less than the squared threshold. By Cauchy-Schwarz a unit without
-any of those heavy terms has a cosine below the threshold, so it is left out unseen.
+any of those heavy terms has a cosine below the threshold, so it is left out unseen. And a unit with i
+words of the notices and o others has a squared cosine of i i / (i i + o) at most, as no word of the notices
+weighs more than another word: long units with a licence line in them go, the line itself stays.
 
 A licence file is one whose name says so, or in which a matching unit makes up ``share`` of the words.
 It speaks for its folder and everything below, unless a deeper licence file does; a file's own
@@ -75,11 +77,16 @@ def matches(files: DataFrame, notices: list[tuple[str, str]], settings: Settings
     """``path``, ``mark``, ``unit``, ``n``, ``all_words``, ``licence``, ``cosine`` of the units that match."""
     spark = files.sparkSession
     terms = stored(templates(spark, notices), "terms")
-    heavy = "(?i)" + "|".join(heavy_words(terms, settings.threshold))
-    texts = files.where(F.col("text").rlike(heavy)).dropDuplicates(["path", "mark"])
+    inside = "[0-9A-Za-z]"
+    heavy = f"(?i)(?<!{inside})(?:{'|'.join(heavy_words(terms, settings.threshold))})(?!{inside})"
+    known = [r["word"] for r in terms.select("word").distinct().collect()]  # the words of the notices
+    texts = files.where(F.col("text").rlike(heavy))
     units = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n\s*\n")))
     cut = texts.select("path", "mark", F.size(word_list(F.col("text"))).alias("all_words"), F.explode(units).alias("unit"))
     cut = cut.where(F.col("unit").rlike(heavy)).withColumn("words", content_words(F.col("unit")))
+    inner = F.size(F.filter("words", lambda w: w.isin(known)))
+    most = (1 / settings.threshold**2 - 1) * inner * inner + 1e-6
+    cut = cut.where(F.size("words") - inner <= most)
     own = ["path", "mark", "unit_key"]
     cut = stored(cut.withColumn("unit_key", F.xxhash64("unit")), "units")
     counted = cut.select(*own, F.explode("words").alias("word")).groupBy(*own, "word").count()
