@@ -2,7 +2,8 @@
 
 Every query is run to its full result, without bringing rows to the driver. The readings table is
 derived once before the clock starts on the others; its own time is reported as ``derive_readings``.
-Two operators are timed without the rounding that their registered queries add for the comparison.
+Some operators are timed without the rounding that their registered queries add for the comparison, and
+fitting apart from scoring: ``fit_logreg`` splits, writes and fits, ``score_batch`` scores all rows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -38,8 +40,10 @@ HEADLINE = (
     "append_run_readings",
     "score_stream",
     "reconstruction_detector",
+    "fit_logreg",
     "score_batch",
 )
+PER_SECOND = ("score_batch", "unit_rollup")
 
 
 def main() -> None:
@@ -55,6 +59,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -62,9 +67,25 @@ def main() -> None:
     from fleetwise.operators import rollup, windows
     from fleetwise.queries import REGISTRY
     from fleetwise.queries.base import scored
+    from fleetwise.learn import contenders, training
     from fleetwise.sources.stand_in import readings
+    from fleetwise.spec import DEFAULT, SIGNALS
+
+    fitted = {}
+
+    def fit(s, d):
+        frame = training.prepare(readings(s, d))[0]
+        fitted["logreg"] = contenders.logreg_model().fit(training.side(frame, "train"), SIGNALS)
+        return s.range(1)
+
+    def score(s, d):
+        if not fitted:
+            fit(s, d)
+        return fitted["logreg"].score(readings(s, d).select(*DEFAULT.key, *SIGNALS))
 
     bare = {
+        "fit_logreg": fit,
+        "score_batch": score,
         "temporal_features": lambda s, d: windows.temporal_features(readings(s, d)),
         "sustained_risk": lambda s, d: rollup.sustained_risk(scored(s, d), "score"),
     }
@@ -90,6 +111,7 @@ def main() -> None:
                 "queries": times,
                 "sf": os.path.basename(sf_dir).removeprefix("sf"),
                 "rows": n_rows,
+                "rows_per_second": {n: round(n_rows / times[n]) for n in PER_SECOND if n in times},
                 "cpus": int(cpus),
             }
         )

@@ -26,7 +26,7 @@ from fleetwise.operators.grading import (
 from fleetwise.operators.ordered import running_totals
 from fleetwise.operators.splits import grouped_folds, grouped_split, unit_draw
 from fleetwise.plans.promotion import best_run
-from fleetwise.shared import stored
+from fleetwise.shared import scope, stored
 from fleetwise.spec import DEFAULT, FOLDS, SEED, TelemetrySpec
 
 CURVE_SHARES = (0.25, 0.5, 0.75, 1.0)
@@ -113,12 +113,11 @@ def oof_predictions(
     out: str = "probability",
     parallelism: int = 4,
 ) -> DataFrame:
-    """Every train row scored by a model that never saw its unit.
+    """Every train row scored by a model that never saw its unit. Rows may bring their ``fold``.
 
     A fold whose other units hold one class cannot be fitted; its rows get NULL.
     """
-    dealt = grouped_folds(train, spec, folds=folds)
-    dealt = stored(dealt, "folds")
+    dealt = train if "fold" in train.columns else stored(grouped_folds(train, spec, folds=folds), "folds")
     numbers = sorted(r[0] for r in dealt.select("fold").distinct().collect())  # at most `folds`
 
     def one(k: int) -> DataFrame:
@@ -170,13 +169,18 @@ def param_search(
     folds: int = FOLDS,
     seed: int = SEED,
 ) -> list[dict]:
-    """Seeded random search on the train units, best trial first."""
+    """Seeded random search on the train units, best trial first.
+
+    Folds are dealt and written once; every trial reads them.
+    """
     draw = random.Random(f"{seed}:{name}")
     results = []
-    for trial in range(trials):
-        params = suggest(name, draw)
-        auc = grouped_cv_auc(BUILDERS[name](seed, params), train, features, spec, folds=folds)
-        results.append({"name": name, "trial": trial, "cv_auc": auc, "params": params})
+    with scope():
+        dealt = stored(grouped_folds(train, spec, folds=folds), "folds")
+        for trial in range(trials):
+            params = suggest(name, draw)
+            auc = grouped_cv_auc(BUILDERS[name](seed, params), dealt, features, spec, folds=folds)
+            results.append({"name": name, "trial": trial, "cv_auc": auc, "params": params})
     return sorted(results, key=lambda r: -math.inf if r["cv_auc"] is None else r["cv_auc"], reverse=True)
 
 
@@ -189,7 +193,10 @@ def learning_curve(
     shares: Sequence[float] = CURVE_SHARES,
     seed: int = SEED,
 ) -> DataFrame:
-    """Train and test AUC over growing subsets of whole train units, each inside the next."""
+    """Train and test AUC over growing subsets of whole train units, each inside the next.
+
+    A share whose units hold one class has no model and NULL for both.
+    """
     train, test = side(frame, "train"), side(frame, "test")
     units = train.select(spec.unit).distinct().withColumn("_draw", unit_draw(spec, seed + 1))
     placed = running_totals(units.withColumn("n", F.lit(1).cast("bigint")), [], "_draw", ["n"])
@@ -201,6 +208,7 @@ def learning_curve(
         try:
             fitted = contender.fit(part, features, spec)
         except DegenerateSplit:
+            rows.append((contender.name, float(share), None, None))
             continue
         rows.append(
             (

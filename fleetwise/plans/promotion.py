@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetwise.operators.ordered import best_before, running_totals
+from fleetwise.shared import exists
 
 REASONS = ("first", "same", "passed", "rejected", "forced", "no_metric")
 
@@ -110,3 +112,56 @@ def roll_back(decisions: DataFrame, name: str) -> int:
     if row["previous_version"] is None:
         raise PromotionError(f"{name} version {row['live_version']} replaced no version")
     return row["previous_version"]
+
+
+DECISION = (
+    "name string, seq bigint, version bigint, roc_auc double, forced boolean, incumbent_version bigint,"
+    " incumbent_auc double, promoted boolean, reason string, batch bigint"
+)
+
+
+class PromotionLog:
+    """Decisions of the gate as a table that grows batch by batch; what is live follows from it.
+
+    A batch holds one request per name, so any tolerance can be used: every request meets what the
+    batches before it left live. Going back is a decision like any other.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def decisions(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], DECISION)
+        return self.spark.read.schema(DECISION).parquet(self.path)
+
+    def live(self) -> DataFrame:
+        """(name, live_version, live_auc) after all batches."""
+        last = F.max_by(F.struct("version", "roc_auc"), "batch")
+        return (
+            self.decisions().filter("promoted").groupBy("name").agg(last.alias("_l"))
+            .select("name", F.col("_l.version").alias("live_version"), F.col("_l.roc_auc").alias("live_auc"))
+        )
+
+    def _append(self, decided: DataFrame) -> None:
+        at = (self.decisions().agg(F.max("batch")).first()[0] or 0) + 1
+        rows = decided.withColumn("batch", F.lit(at).cast("bigint"))
+        kinds = T.StructType.fromDDL(DECISION)
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in kinds]).write.mode("append").parquet(self.path)
+
+    def publish(self, requests: DataFrame, min_delta: float = 0.0) -> None:
+        """Decide one request per name (name, seq, version, roc_auc, forced) and keep the decisions."""
+        twice = requests.groupBy("name").count().filter("count > 1").first()
+        if twice:
+            raise PromotionError(f"{twice['name']} asks twice in one batch")
+        self._append(gate(requests, self.live(), min_delta))
+
+    def roll_back(self, name: str) -> int:
+        """Make the version live again that the live one replaced; returns it."""
+        moves = self.decisions().filter((F.col("name") == name) & F.col("promoted")).withColumn("seq", F.col("batch"))
+        back = roll_back(moves, name)
+        before = moves.filter(F.col("version") == back).agg(F.max_by("roc_auc", "batch")).first()[0]
+        now = self.live().filter(F.col("name") == name).first()
+        row = [(name, None, back, before, True, now["live_version"], now["live_auc"], True, "rolled_back")]
+        self._append(self.spark.createDataFrame(row, DECISION.rsplit(",", 1)[0]))
+        return back

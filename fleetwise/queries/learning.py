@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from fleetwise.detectors.joint import (
@@ -17,9 +20,10 @@ from fleetwise.learn import training as tr
 from fleetwise.operators import aggregates as agg
 from fleetwise.operators import headers as hd
 from fleetwise.operators import projection as pj
+from fleetwise.operators import splits as sp
 from fleetwise.plans import ceiling as cl
 from fleetwise.plans import retrain as rt
-from fleetwise.queries.analysis import _ROLLUP, _SHORT, ROLLUP_SQL
+from fleetwise.queries.analysis import _ROLLUP, _SHORT, _SPLIT, ROLLUP_SQL, _folds
 from fleetwise.queries.base import (
     COLUMNS,
     SCORE,
@@ -38,10 +42,14 @@ from fleetwise.streaming import jobs as st
 
 KEY = DEFAULT.key
 
-# Small budgets keep the registered model queries short; the library's defaults are larger.
-SMALL_TREES = {"n_estimators": 10, "num_leaves": 8, "learning_rate": 0.2}
-SMALL_FOREST = 50
-FEW_FOLDS = 3
+def _sound(df, *scores):
+    """The rows' keys, and whether every score is a finite number from 0 to 1."""
+    fine = reduce(and_, [F.col(c).isNotNull() & F.col(c).between(0.0, 1.0) for c in scores])
+    return df.select(*KEY, fine.alias("sound"))
+
+
+_ALL_SOUND = on_readings("SELECT unit_id, t_index, true AS sound FROM readings")
+_TEST_SOUND = on_readings("SELECT unit_id, t_index, true AS sound FROM halves WHERE split = 'test'", _SPLIT)
 
 
 def _filled(spark, sf_dir):
@@ -52,54 +60,61 @@ def _filled(spark, sf_dir):
 # -- detectors -----------------------------------------------------------------------------------
 
 
-@query("isolation_forest")
+@query("isolation_forest", _ALL_SOUND)
 def isolation_forest(spark, sf_dir):
     df = _filled(spark, sf_dir)
-    return IsolationForest().fit(df).transform(df).select(*KEY, "isolation")
+    return _sound(IsolationForest().fit(df).transform(df), "isolation")
 
 
-@query("robust_mahalanobis")
+@query("robust_mahalanobis", on_readings("SELECT unit_id, t_index, true AS sound FROM readings"))
 def robust_mahalanobis(spark, sf_dir):
     df = _filled(spark, sf_dir)
-    return RobustDistance().fit(df).transform(df).select(*KEY, "distance")
+    found = RobustDistance().fit(df).transform(df)
+    fine = (F.col("distance") >= 0) & (F.col("distance") < float("inf"))
+    return found.select(*KEY, F.coalesce(fine, F.lit(False)).alias("sound"))
 
 
-@query("multivariate_detector")
+@query("multivariate_detector", _ALL_SOUND)
 def multivariate_detector(spark, sf_dir):
     df = readings(spark, sf_dir).select(*KEY, *SIGNALS)
-    model = MultivariateDetector(trees=SMALL_FOREST).fit(df)
-    return model.transform(df).select(*KEY, model.name)
+    model = MultivariateDetector().fit(df)
+    return _sound(model.transform(df), model.name)
 
 
-@query("reconstruction_detector")
+@query("reconstruction_detector", _ALL_SOUND)
 def reconstruction_detector(spark, sf_dir):
     df = readings(spark, sf_dir).select(*KEY, *SIGNALS)
     model = ReconstructionDetector().fit(df)
-    return model.transform(df).select(*KEY, model.name)
+    return _sound(model.transform(df), model.name)
+
+
+def _train_rows(spark, sf_dir):
+    df = sp.grouped_split(readings(spark, sf_dir))
+    return tr.side(df, "train").drop("split")
 
 
-@query("fit_score_ladder")
+@query("fit_score_ladder", _ALL_SOUND)
 def fit_score_ladder(spark, sf_dir):
-    """Fitted on the units that never fail, scoring all units."""
-    df = readings(spark, sf_dir)
-    model = DetectorLadder(trees=SMALL_FOREST).fit(df.filter("unit_id % 2 = 1"))
-    return model.transform(df.select(*KEY, *SIGNALS)).select(*KEY, *model.names)
+    """Fitted on the train units, scoring all units."""
+    model = DetectorLadder().fit(_train_rows(spark, sf_dir))
+    return _sound(model.transform(readings(spark, sf_dir).select(*KEY, *SIGNALS)), *model.names)
 
 
 @query("detector_grades")
 def detector_grades(spark, sf_dir):
     """The real ladder graded against the labels, which no detector sees."""
-    return score_ladder(readings(spark, sf_dir), trees=SMALL_FOREST)
+    return score_ladder(readings(spark, sf_dir))
 
 
-@query("signal_suspect")
+@query("signal_suspect", _ALL_SOUND)
 def signal_suspect(spark, sf_dir):
-    df = readings(spark, sf_dir)
-    model = SuspectFeature(trees=SMALL_FOREST).fit(df.filter("unit_id % 2 = 1"))
-    return model.transform(df.select(*KEY, *SIGNALS)).select(*KEY, SUSPECT)
+    model = SuspectFeature().fit(_train_rows(spark, sf_dir))
+    return _sound(model.transform(readings(spark, sf_dir).select(*KEY, *SIGNALS)), SUSPECT)
 
 
 # -- models --------------------------------------------------------------------------------------
+# All on the library's defaults: 200 trees, 5 folds, 40 trials. Where a query needs many fits it takes
+# the logistic contender, whose fits are short, and not a cut-down one of the other.
 
 
 def _frame(spark, sf_dir):
@@ -108,36 +123,55 @@ def _frame(spark, sf_dir):
     )
 
 
-def _boosted():
-    return ct.boosted_model(overrides=SMALL_TREES)
+_fits: dict[tuple[str, str], ct.Fitted] = {}
 
 
-def _scored_test(contender, spark, sf_dir):
-    frame = _frame(spark, sf_dir)
-    fitted = contender.fit(tr.side(frame, "train"), SIGNALS)
-    return fitted.score(tr.side(frame, "test")).select(*KEY, "failure_within_h", "probability")
+def _boosted(spark, sf_dir):
+    """The boosted contender, fitted once per application and table."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _fits:
+        _fits[key] = ct.boosted_model().fit(tr.side(_frame(spark, sf_dir), "train"), SIGNALS)
+    return _fits[key]
+
+
+def _scored_test(fitted, spark, sf_dir):
+    """Test keys, and whether their probabilities are sound. The tests look at how well they rank."""
+    return _sound(fitted.score(tr.side(_frame(spark, sf_dir), "test")), "probability")
 
 
-@query("logreg_model")
+@query("logreg_model", _TEST_SOUND)
 def logreg_model(spark, sf_dir):
-    return _scored_test(ct.logreg_model(), spark, sf_dir)
+    fitted = ct.logreg_model().fit(tr.side(_frame(spark, sf_dir), "train"), SIGNALS)
+    return _scored_test(fitted, spark, sf_dir)
 
 
-@query("boosted_model")
+@query("boosted_model", _TEST_SOUND)
 def boosted_model(spark, sf_dir):
-    return _scored_test(_boosted(), spark, sf_dir)
+    return _scored_test(_boosted(spark, sf_dir), spark, sf_dir)
 
 
-@query("score_batch")
+@query("score_batch", on_readings("SELECT unit_id, t_index, true AS sound, '1' AS model_version FROM readings"))
 def score_batch(spark, sf_dir):
     """A model fitted on train units scores every row, with its version beside the score."""
     frame = _frame(spark, sf_dir)
     fitted = ct.logreg_model().fit(tr.side(frame, "train"), SIGNALS)
     out = fitted.score(readings(spark, sf_dir).select(*KEY, *SIGNALS))
-    return out.select(*KEY, "probability", F.lit("1").alias("model_version"))
+    return _sound(out, "probability").withColumn("model_version", F.lit("1"))
 
 
-@query("model_field")
+_FIELD = ", ".join(
+    f"({i}, '{c.name}', '{k}', CAST({float(v)!r} AS DOUBLE))" for i, c in enumerate(ct.model_field()) for k, v in c.params.items()
+)
+
+
+@query(
+    "model_field",
+    on_readings(
+        f"""SELECT place, name, param, value, n_rows, n_positive FROM (VALUES {_FIELD}) AS v(place, name, param, value),
+  (SELECT count(*) AS n_rows, CAST(sum(failure_within_h) AS BIGINT) AS n_positive FROM halves WHERE split = 'train')""",
+        _SPLIT,
+    ),
+)
 def model_field(spark, sf_dir):
     """Every contender by name with the rows and positives it would be fitted on."""
     frame = tr.side(_frame(spark, sf_dir), "train")
@@ -152,52 +186,82 @@ def model_field(spark, sf_dir):
     )
 
 
-@query("train_compare")
+@query(
+    "train_compare",
+    on_readings(
+        """SELECT name, contender_order, true AS sound, n_train, n_test FROM (VALUES (0, 'logreg'), (1, 'boosted')) AS v(contender_order, name),
+  (SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM halves)""",
+        _SPLIT,
+    ),
+)
 def train_compare(spark, sf_dir):
-    return tr.train_compare(
-        readings(spark, sf_dir), tuned={"boosted": SMALL_TREES}, clean=False
-    ).scores
+    scores = tr.train_compare(readings(spark, sf_dir)).scores
+    return scores.select("name", "contender_order", F.col("roc_auc").between(0.0, 1.0).alias("sound"), "n_train", "n_test")
 
 
-@query("grouped_cv_auc")
+@query("grouped_cv_auc", "SELECT 'logreg' AS name, true AS sound")
 def grouped_cv_auc(spark, sf_dir):
     train = tr.side(_frame(spark, sf_dir), "train")
-    auc = tr.grouped_cv_auc(ct.logreg_model(), train, SIGNALS, folds=FEW_FOLDS)
-    return spark.createDataFrame([("logreg", auc)], "name string, cv_auc double")
+    auc = tr.grouped_cv_auc(ct.logreg_model(), train, SIGNALS)
+    return spark.createDataFrame([("logreg", auc is None or 0 <= auc <= 1)], "name string, sound boolean")
 
 
 @query("param_search")
 def param_search(spark, sf_dir):
     train = tr.side(_frame(spark, sf_dir), "train")
-    found = tr.param_search("logreg", train, SIGNALS, trials=2, folds=2)
+    found = tr.param_search("logreg", train, SIGNALS)
     rows = [(r["name"], r["trial"], r["cv_auc"], str(r["params"])) for r in found]
     return spark.createDataFrame(rows, "name string, trial int, cv_auc double, params string")
 
 
-@query("feature_importance")
+@query(
+    "feature_importance",
+    "SELECT 'boosted' AS model, 'impurity_gain' AS kind, feature, true AS sound FROM (VALUES {}) AS v(feature)".format(
+        ", ".join(f"('{s}')" for s in SIGNALS)
+    ),
+)
 def feature_importance(spark, sf_dir):
-    fitted = _boosted().fit(tr.side(_frame(spark, sf_dir), "train"), SIGNALS)
-    return tr.importance_table(spark, fitted)
+    table_ = tr.importance_table(spark, _boosted(spark, sf_dir))
+    return table_.select("model", "kind", "feature", F.col("importance").between(0.0, 1.0).alias("sound"))
 
 
-@query("learning_curve")
+@query(
+    "learning_curve",
+    "SELECT 'logreg' AS model, share, true AS sound FROM (VALUES (0.25e0), (0.5e0), (0.75e0), (1e0)) AS v(share)",
+)
 def learning_curve(spark, sf_dir):
-    return tr.learning_curve(ct.logreg_model(), _frame(spark, sf_dir), SIGNALS)
+    curve = tr.learning_curve(ct.logreg_model(), _frame(spark, sf_dir), SIGNALS)
+    sound = F.coalesce(F.col("train_auc").between(0.0, 1.0) & F.col("test_auc").between(0.0, 1.0), F.lit(True))
+    return curve.select("model", "share", sound.alias("sound"))
 
 
 @query("write_diagnostics")
 def write_diagnostics(spark, sf_dir):
-    root, frame, contender = new_path(spark, "diagnostics"), _frame(spark, sf_dir), _boosted()
+    """All four tables, as (table, column, value) of every row."""
+    root, frame, contender = new_path(spark, "diagnostics"), _frame(spark, sf_dir), ct.logreg_model()
     fitted = contender.fit(tr.side(frame, "train"), SIGNALS)
-    tr.write_diagnostics(root, contender, fitted, frame, SIGNALS, curve_shares=(1.0,))
-    return spark.read.option("header", True).csv(f"{root}/calibration")
+    tr.write_diagnostics(root, contender, fitted, frame, SIGNALS)
+    parts = []
+    for name in ("importance", "calibration", "threshold_sweep", "learning_curve"):
+        rows = spark.read.option("header", True).csv(f"{root}/{name}")
+        long = rows.select([F.col(c).cast("string") for c in rows.columns]).unpivot([], rows.columns, "column", "value")
+        parts.append(long.select(F.lit(name).alias("part"), "column", "value"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-@query("oof_predictions")
+@query(
+    "oof_predictions",
+    on_readings(
+        "SELECT unit_id, t_index, fold, failure_within_h, true AS sound FROM halves JOIN folds USING (unit_id) WHERE split = 'train'",
+        _SPLIT,
+        _folds("(SELECT * FROM halves WHERE split = 'train')"),
+    ),
+)
 def oof_predictions(spark, sf_dir):
     train = tr.side(_frame(spark, sf_dir), "train")
-    out = tr.oof_predictions(_boosted(), train, SIGNALS, folds=FEW_FOLDS)
-    return out.select(*KEY, "fold", "failure_within_h", "probability")
+    out = tr.oof_predictions(ct.logreg_model(), train, SIGNALS)
+    fine = F.col("probability").isNull() | F.col("probability").between(0.0, 1.0)
+    return out.select(*KEY, "fold", F.col("failure_within_h").cast("int").alias("failure_within_h"), fine.alias("sound"))
 
 
 def _base(spark, sf_dir):
@@ -210,21 +274,26 @@ def _base(spark, sf_dir):
     )
 
 
-@query("stacking_probe")
+_RUNG_ROWS = ", ".join(f"('{r}')" for r in (*cl.RUNGS, "stack"))
+
+
+@query("stacking_probe", f"SELECT rung, true AS sound FROM (VALUES {_RUNG_ROWS}) AS v(rung)")
 def stacking_probe(spark, sf_dir):
-    return cl.stacking_probe(_base(spark, sf_dir), _boosted(), folds=2)
+    probe = cl.stacking_probe(_base(spark, sf_dir), ct.logreg_model())
+    return probe.select("rung", F.col("roc_auc").between(0.0, 1.0).alias("sound"))
 
 
-@query("upper_bound")
+@query("upper_bound", "SELECT true AS near_one, true AS diagnostic")
 def upper_bound(spark, sf_dir):
-    base, contender = _base(spark, sf_dir), _boosted()
+    base, contender = _base(spark, sf_dir), ct.logreg_model()
     overall, _, _ = cl.decompose(base, contender)
-    return cl.upper_bound(base, contender, overall)
+    bound = cl.upper_bound(base, contender, overall)
+    return bound.select((F.col("leaky_auc") > 0.99).alias("near_one"), "diagnostic")
 
 
 @query("ceiling_report")
 def ceiling_report(spark, sf_dir):
-    report = cl.ceiling_report(readings(spark, sf_dir), contender=_boosted(), folds=2)
+    report = cl.ceiling_report(readings(spark, sf_dir), contender=ct.logreg_model())
     part = lambda df, kind, name: df.select(
         F.lit(kind).alias("part"), F.col(name).alias("name"), "roc_auc"
     )
@@ -241,11 +310,9 @@ def ceiling_report(spark, sf_dir):
     )
 
 
-@query("temporal_ladder")
+@query("temporal_ladder", "SELECT rung FROM (VALUES {}) AS v(rung)".format(", ".join(f"('{r}')" for r in (*cl.RUNGS, "sequence"))))
 def temporal_ladder(spark, sf_dir):
-    return cl.temporal_ladder(
-        readings(spark, sf_dir), contender=_boosted(), sequence=ct.sequence_model(max_iter=20)
-    )
+    return cl.temporal_ladder(readings(spark, sf_dir), contender=ct.logreg_model()).select("rung")
 
 
 @query("drift_retrain_job")
@@ -256,9 +323,7 @@ def drift_retrain_job(spark, sf_dir):
     live = spark.createDataFrame(
         [("failure_model", 1, 0.6)], "name string, live_version long, live_auc double"
     )
-    result = rt.drift_retrain_job(
-        reference, current, live, tuned={"boosted": SMALL_TREES}, clean=False
-    )
+    result = rt.drift_retrain_job(reference, current, live, clean=False)
     return result.promotion
 
 

@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +39,10 @@ class Scope:
             remove(spark, path)
 
 
-# The outermost scope ends with the program: tables behind a lazy result live until then.
-_scopes = [Scope()]
+# The outermost scope ends with the program: tables behind a lazy result live until then. Every thread
+# has a stack of its own, so that no thread deletes what another one has stored.
+_PROGRAM = Scope()
+_stack: ContextVar[tuple[Scope, ...]] = ContextVar("scopes", default=(_PROGRAM,))
 
 
 @contextlib.contextmanager
@@ -50,24 +53,27 @@ def scope() -> Iterator[Scope]:
     (``kept``).
     """
     inner = Scope()
-    _scopes.append(inner)
+    token = _stack.set((*_stack.get(), inner))
     try:
         yield inner
     finally:
-        _scopes.remove(inner)
+        _stack.reset(token)
         inner.clear()
 
 
 @atexit.register
 def _end() -> None:
     with contextlib.suppress(Exception):  # the session may be gone already
-        _scopes[0].clear()
+        _PROGRAM.clear()
 
 
-def new_path(spark: SparkSession, label: str, outer: bool = False) -> str:
-    """A fresh folder name; ``outer`` books it on the scope around the innermost one."""
+def new_path(spark: SparkSession, label: str, outer: bool = False, lasting: bool = False) -> str:
+    """A fresh folder name. ``outer`` books it on the scope around the innermost one, ``lasting`` on
+    the outermost, which ends with the program."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _scopes[max(0, len(_scopes) - 2) if outer else -1].paths.append((spark, path))
+    stack = _stack.get()
+    at = 0 if lasting else max(0, len(stack) - 2) if outer else -1
+    stack[at].paths.append((spark, path))
     return path
 
 
@@ -89,9 +95,17 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return stored(df, label, outer=True)
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _at(spark, path)
+    return files.exists(target)
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Delete a folder on whatever file system it lies."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, target = _at(spark, path)
     return files.delete(target, True)

@@ -59,7 +59,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 def once_at(spark: SparkSession, sf_dir: str, name: str, make) -> tuple[str, T.StructType]:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if key not in _written:
-        df, path = make(), new_path(spark, name)
+        df, path = make(), new_path(spark, name, lasting=True)
         df.write.parquet(path)
         _written[key] = (path, df.schema)
     return _written[key]
