@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import chain, takewhile
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ from fleetwise.llm.kernel import slices
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 1 << 18  # words a task remembers; beyond that it forgets all and goes on
+CACHE = 1 << 17  # words after which a task starts anew; it then still knows the ones before, once used
+INFINITE = float("inf")
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,11 @@ class Vocabulary:
     byte_ids: list[int] | None
     unknown: int
 
+    @cached_property
+    def pieces(self) -> dict[str, tuple[float, tuple[int, ...]]]:
+        """``scores`` with the ids as tuples, to be strung together."""
+        return {p: (s, (i,)) for p, (s, i) in self.scores.items()}
+
     @cached_property
     def longest(self) -> int:
         return max(map(len, self.scores), default=1)
@@ -85,35 +91,38 @@ def mark(text: str | None) -> str:
 
 def segment(words: Iterable[str], vocabulary: Vocabulary) -> dict[str, tuple[int, ...]]:
     """The ids of the best pieces of every word; of equal sums the one with the longer last piece."""
-    get, longest, floor = vocabulary.scores.get, vocabulary.longest, vocabulary.floor
+    get, longest, floor = vocabulary.pieces.get, vocabulary.longest, vocabulary.floor
     out: dict[str, tuple[int, ...]] = {}
     last = ""
     best, cut, ids = [0.0], [0], [()]  # the stack: one entry for each character of the path
     for word in sorted(words):
-        depth = sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(last, word, strict=False)))
+        depth = 0
+        for a, b in zip(last, word):  # noqa: B905
+            if a != b:
+                break
+            depth += 1
         del best[depth + 1 :], cut[depth + 1 :], ids[depth + 1 :]
         for end in range(depth + 1, len(word) + 1):
-            top, at, own = None, 0, ()
-            for begin in range(max(0, end - longest), end):
+            top, at, own = -INFINITE, 0, ()
+            for begin in range(end - longest if end > longest else 0, end):
                 found = get(word[begin:end])
                 if found is not None:
                     total = best[begin] + found[0]
-                    if top is None or total > top:
-                        top, at, own = total, begin, (found[1],)
-            if own == () or at < end - 1:
-                char = word[end - 1]
-                if char not in vocabulary.scores:
-                    total = best[end - 1] + floor
-                    if top is None or total > top:
-                        top, at, own = total, end - 1, vocabulary.spell(char)
+                    if total > top:
+                        top, at, own = total, begin, found[1]
+            if found is None:  # the last character alone is no piece
+                total = best[end - 1] + floor
+                if total > top:
+                    top, at, own = total, end - 1, vocabulary.spell(word[end - 1])
             best.append(top)
             cut.append(at)
             ids.append(own)
-        path, end = [], len(word)
+        end = cut[-1]
+        path = ids[-1]
         while end:
-            path.append(ids[end])
+            path = ids[end] + path
             end = cut[end]
-        out[word] = tuple(chain.from_iterable(reversed(path)))
+        out[word] = path
         last = word
     return out
 
@@ -128,18 +137,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("do
     names = [c for c in dict.fromkeys((*keep, "text")) if c != "token_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = shared.value, {}
+        vocabulary, known, older = shared.value, {}, {}
         for batch in batches:
             for part in slices(batch):
                 cut = [WORD.findall(mark(t)) for t in part.column("text").to_pylist()]
                 new = set(chain.from_iterable(cut)).difference(known)
-                if len(known) + len(new) > CACHE:
-                    new, known = set(chain.from_iterable(cut)), {}
-                known |= segment(new, vocabulary)
-                sizes = np.fromiter((sum(map(len, map(known.__getitem__, ws))) for ws in cut), np.int64, len(cut))
-                ids = np.fromiter(chain.from_iterable(map(known.__getitem__, chain.from_iterable(cut))), np.int32, int(sizes.sum()))
-                at = np.append(0, np.cumsum(sizes)).astype(np.int32)
+                seen = new.intersection(older)
+                known |= zip(seen, map(older.__getitem__, seen))  # noqa: B905
+                known |= segment(new.difference(seen), vocabulary)
+                found = list(map(known.__getitem__, chain.from_iterable(cut)))
+                stops = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+                ids = np.fromiter(chain.from_iterable(found), np.int32, int(stops[-1]))
+                at = stops[np.append(0, np.cumsum([len(ws) for ws in cut]))].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(ids))
+                if len(known) > CACHE:
+                    known, older = {}, known
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), lists], [*names, "token_ids"])
 
     kind = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
