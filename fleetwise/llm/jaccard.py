@@ -176,12 +176,11 @@ def similarity_groups(docs: DataFrame, rule: Similarity = Similarity()) -> DataF
             "classes",
         )
         posts = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "gram"))
-        shared = posts.groupBy("gram").agg(
-            F.min("rep").alias("low"), F.max("rep").alias("high"), F.min_by("rep", "pos").alias("plain")
-        ).where("low < high")
+        shared = posts.groupBy("gram").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
         group = stored(posts.join(shared, "gram"), "groups")
+        plain = group.groupBy("gram").agg(F.min_by("rep", "pos").alias("plain"))
         lead = F.explode(F.array_distinct(F.array("low", "high", "plain")))
-        first = group.select("rep", lead.alias("lead")).where("rep <> lead")
+        first = group.join(plain, "gram").select("rep", lead.alias("lead")).where("rep <> lead")
         first = first.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         first = stored(_possible(first, classes, rule), "first")
         links = stored(_verified(first, docs, rule), "links")
