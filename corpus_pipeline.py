@@ -24,8 +24,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     with scope():
         groups = jaccard.similarity_groups(docs, jaccard.Similarity(words=5, num=4, den=5))
-        gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-        return kept(docs.join(gone, "doc_id", "left_anti").select(docs.columns), "unique")
+        gone = kept(groups.where("component_id < doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(winnow.small(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

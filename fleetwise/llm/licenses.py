@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetwise.llm.winnow import _small, word_list
+from fleetwise.llm.winnow import small, word_list
 from fleetwise.shared import kept, scope, stored
 
 # Public notices, as (licence, text). Fixed values.
@@ -132,12 +132,12 @@ def scan(files: DataFrame, notices: list[tuple[str, str]] = NOTICES, settings: S
             F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
         )
         up = places.select("folder", F.explode(F.array_distinct(every)).alias("above"))
-        nearest = up.join(_small(folders), "above").groupBy("folder").agg(F.max(F.struct(F.length("above").alias("l"), "above", "given")).alias("b"))
+        nearest = up.join(small(folders), "above").groupBy("folder").agg(F.max(F.struct(F.length("above").alias("l"), "above", "given")).alias("b"))
         nearest = stored(nearest.select("folder", F.col("b.above").alias("licence_folder"), F.col("b.given").alias("given")), "nearest")
         placed = rows.select("path", "mark", folder_of(F.col("path")).alias("folder"))
-        side = _small(best)
+        side = small(best)
         with_own = placed.join(side, placed["path"].eqNullSafe(best["path"]) & (placed["mark"] == best["mark"]), "left").select(placed["path"], placed["mark"], "folder", "licence", "cosine")
-        whole = with_own.join(_small(nearest), "folder", "left")
+        whole = with_own.join(small(nearest), "folder", "left")
         has = F.col("licence").isNotNull()
         return kept(
             whole.select(

@@ -73,7 +73,8 @@ def _hashed(df: DataFrame) -> DataFrame:
     )
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has been counted to be small enough, else as it is."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -115,16 +116,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, rule: Windows = Windows())
         cut = _hashed(texts).withColumn("grams", _runs("hashes", rule.gram))
         marks = F.concat(own, _smallest("grams", width), *(_runs("hashes", n) for n in short))
         each = cut.select(*same_row, F.size("words").cast("bigint").alias("n_words"), F.posexplode(marks).alias("at", "print"))
-        side = _small(prints).withColumn("meets", F.lit(True))
+        side = small(prints).withColumn("meets", F.lit(True))
         seen = stored(
             each.join(side, "print", "left").where("at = 0 OR meets").select(*same_row, "n_words", (F.col("at") == 0).alias("row")),
             "seen",
         )
         hits = stored(seen.where("NOT row").select(*same_row).distinct(), "hits")
-        near = texts.join(_small(hits), on_row(texts, hits), "left_semi").dropDuplicates(same_row)
+        near = texts.join(small(hits), on_row(texts, hits), "left_semi").dropDuplicates(same_row)
         every = F.flatten(F.array(*(_placed("hashes", n) for n in lengths)))
         spots = _hashed(near).select(*same_row, F.explode(every).alias("w")).select(*same_row, "w.*")
-        spots = stored(spots.join(_small(runs), "run").select(*same_row, "start", "stop", "found"), "spots")
+        spots = stored(spots.join(small(runs), "run").select(*same_row, "start", "stop", "found"), "spots")
 
         order = "PARTITION BY doc_id, mark ORDER BY start, stop ROWS BETWEEN"
         laid = (
@@ -153,12 +154,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, rule: Windows = Windows())
 
 
 def without_hits(docs: DataFrame, items: DataFrame, rule: Windows = Windows()) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of ``items`` occurs."""
+    """The rows of ``docs``, all columns, in which no window of ``items`` occurs; only the keys of the
+    others are stored."""
     with scope():
-        bad = decontaminate(docs, items, rule).where("n_hit > 0").select("doc_id", "mark").distinct()
-        bad = stored(bad, "bad")
-        same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["mark"])
-        return kept(docs.join(_small(bad), same, "left_anti"), "decontaminated")
+        bad = kept(decontaminate(docs, items, rule).where("n_hit > 0").select("doc_id", "mark").distinct(), "bad")
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["mark"])
+    return docs.join(small(bad), same, "left_anti")
 
 
 def digests(found: DataFrame) -> DataFrame:
