@@ -35,7 +35,7 @@ from fleetwise.shared import kept, scope, stored
 
 FRAME = 0xFF
 RUN, WORD = 0, 1
-FLUSH = 4_000_000  # distinct keys that a task adds up before it hands them on
+FLUSH = 1_500_000  # keys that a task collects before it adds them up, and hands them on if half are distinct
 GROUPS = 2048
 BLOCK_BYTES = 32 << 20
 
@@ -205,6 +205,7 @@ KIND = "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tok
 
 
 def _by_broadcast(docs: DataFrame, seen: DataFrame, priced: DataFrame, whole: Tables, order: int) -> DataFrame:
+    """Scored and written; the tables leave the executors when that is done."""
     spark = docs.sparkSession
 
     def sorted_table(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +225,9 @@ def _by_broadcast(docs: DataFrame, seen: DataFrame, priced: DataFrame, whole: Ta
             for part in slices(batch):
                 yield _scores(part, shared.value, order)
 
-    return docs.mapInArrow(score, KIND)
+    scored = kept(docs.mapInArrow(score, KIND), "scored")
+    shared.destroy()
+    return scored
 
 
 def _by_blocks(docs: DataFrame, seen: DataFrame, priced: DataFrame, whole: Tables, order: int) -> DataFrame:
@@ -256,7 +259,7 @@ def _by_blocks(docs: DataFrame, seen: DataFrame, priced: DataFrame, whole: Table
         seen.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value"))
     )
     told = stored(asked.join(table, ["kind", "key"]), "told")
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, KIND)
+    return kept(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, KIND), "scored")
 
 
 def score_texts(docs: DataFrame, train: Column, settings: Settings = Settings()) -> DataFrame:
@@ -279,4 +282,4 @@ def score_texts(docs: DataFrame, train: Column, settings: Settings = Settings())
         none = np.zeros(0)
         whole = Tables(none, none, none, none, ends, tokens, n_words + (ends > 0))
         way = _by_broadcast if sum(r["rows"] for r in sizes.values()) <= settings.table_rows else _by_blocks
-        return kept(way(docs, seen, priced, whole, settings.order), "scored")
+        return way(docs, seen, priced, whole, settings.order)
