@@ -102,3 +102,47 @@ def test_same_as_counting_by_hand():
     for text in ("ab", "", "ba", "zz", "abab"):
         want = (log(["abab", "abb"], text) - log(["ba"], text)) / (len(text) + 1)
         assert urls._differences(pa.array([text]), counts, settings)[0] == pytest.approx(want)
+
+
+def test_verdicts_are_those_of_exact_counts_on_many_varied_urls(spark):
+    """Both ways to look values up, against counts in dictionaries."""
+    from collections import Counter
+    from math import log
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    syllables = [a + b for a in "bcdfgklmnprstvz" for b in "aeiou"]
+    slug = lambda: "-".join("".join(rng.choices(syllables, k=3)) for _ in range(2))
+    rules = [("allow", "good", "/"), ("block", "bad", "/")]
+    made_ = [f"http://{slug()}.{rng.choice(['good', 'bad', 'bad', 'open'])}/{slug()}/{rng.getrandbits(48):x}" for _ in range(20_000)]
+    pages = table(spark, list(enumerate(made_))).repartition(7)
+    held = {r.page_id for r in pages.where(F.pmod(F.xxhash64("url"), F.lit(5)) == 0).select("page_id").collect()}
+    seen, before = Counter(), Counter()
+    framed = ["\0" * 5 + u + "\1" for u in made_]
+    for i, u in enumerate(framed):
+        side = 0 if ".good/" in u else 1 if ".bad/" in u else None
+        if side is not None and i not in held:
+            for j in range(5, len(u)):
+                for k in range(6):
+                    seen[side, u[j - k : j + 1]] += 1
+                    before[side, u[j - k : j], k] += 1
+
+    def difference(u):
+        out = 0.0
+        for j in range(5, len(u)):
+            for side in range(2):
+                p = 1 / 257
+                for k in range(6):
+                    p = (seen[side, u[j - k : j + 1]] + 4 * p) / (before[side, u[j - k : j], k] + 4)
+                out += log(p) * (1 - 2 * side)
+        return out / (len(u) - 5)
+
+    verdicts = []
+    for settings in (urls.Settings(), urls.Settings(table_rows=0)):
+        got = {r.page_id: r for r in urls.judge(pages, rules, settings).collect()}
+        assert len(got) == len(made_)
+        for i in range(0, len(made_), 20):
+            assert got[i].difference == pytest.approx(difference(framed[i]), abs=1e-9)
+        verdicts.append([got[i].verdict for i in range(len(made_))])
+    assert verdicts[0] == verdicts[1]
