@@ -52,3 +52,25 @@ def test_query_and_empty_table(spark, middle):
     ours = QUERIES["op8_license_scans"](spark, middle).toPandas()
     assert differences(ours, connect(middle).sql(ORACLE_SQL["op8_license_scans"]).df()) == []
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).collect() == []
+
+
+def wrapped(text, mark, width=70):
+    import textwrap
+
+    return "\n".join(f"{mark}{line}" for line in textwrap.wrap(text, width))
+
+
+def test_wrapped_headers_and_sentences_inside_a_paragraph(spark):
+    whole = dict(licenses.WHOLE)
+    code = "\nint main(void) { return compute(values, 17); }\n" * 30
+    files = [
+        *((f"{i}/{mark.strip() or 'plain'}.c", f"{mark}Copyright 2020 Some Person\n{mark.rstrip()}\n{wrapped(text, mark)}{code}", name)
+          for i, (name, text) in enumerate(whole.items()) for mark in (" * ", "# ", "")),
+        ("gpl/opening.py", wrapped(GPL, "# ", 60) + code, "GPL-3.0"),
+        ("mit/opening.py", wrapped(licenses._GRANT, "// ", 60) + code, "MIT"),
+        ("bsd/opening.py", wrapped(licenses._BSD, "# ", 50) + code, "BSD-3-Clause"),
+        ("in/paragraph.md", "Read the guide of our tool before you begin, it has many pages. Licensed under the Apache License, Version 2.0. Questions go to the list, answers come from friends of the tool.", "Apache-2.0"),
+        ("none/near.md", "the software license of this program and other words about permission, warranty, copies, conditions and use" + code, None),
+    ]
+    got = {r.path: (r.licence, r.origin) for r in licenses.scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()}
+    assert {p: got[p] for p, _, _ in files} == {p: (n, "header" if n else None) for p, _, n in files}
