@@ -171,12 +171,12 @@ def param_search(
 ) -> list[dict]:
     """Seeded random search on the train units, best trial first.
 
-    Folds are dealt and written once; every trial reads them.
+    Folds are dealt and written once; every trial reads them. Rows may bring their ``fold``.
     """
     draw = random.Random(f"{seed}:{name}")
     results = []
     with scope():
-        dealt = stored(grouped_folds(train, spec, folds=folds), "folds")
+        dealt = train if "fold" in train.columns else stored(grouped_folds(train, spec, folds=folds), "folds")
         for trial in range(trials):
             params = suggest(name, draw)
             auc = grouped_cv_auc(BUILDERS[name](seed, params), dealt, features, spec, folds=folds)

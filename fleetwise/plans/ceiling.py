@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwise.functions.scalars import finite_or, one_hot
-from fleetwise.learn.contenders import Contender, boosted_model, stack_model, sequence_model
+from fleetwise.learn.contenders import Contender, Fitted, boosted_model, stack_model, sequence_model
 from fleetwise.learn.training import oof_predictions, side
 from fleetwise.operators.aggregates import signal_moments
 from fleetwise.operators.grading import (
@@ -21,7 +21,7 @@ from fleetwise.operators.grading import (
 )
 from fleetwise.operators.projection import assert_honest, assert_no_leakage
 from fleetwise.operators.rollup import join_scores
-from fleetwise.operators.splits import grouped_split
+from fleetwise.operators.splits import grouped_folds, grouped_split
 from fleetwise.operators.windows import (
     temporal_columns,
     temporal_features,
@@ -32,7 +32,12 @@ from fleetwise.shared import stored
 from fleetwise.spec import DEFAULT, FOLDS, SEED, TelemetrySpec
 
 FAR = 1e9  # stands for "no failure ahead" in the diagnostic frame
-RUNGS = ("boosted_perrow", "boosted_temporal")
+RUNGS = ("boosted_perrow", "boosted_temporal")  # as they are called with the default contender
+
+
+def rung_name(rung: str, contender: Contender) -> str:
+    """The rung named after the model that is fitted on it."""
+    return rung.replace("boosted", contender.name, 1) if rung in RUNGS else rung
 
 
 @dataclass(frozen=True)
@@ -57,11 +62,10 @@ def build_base(df: DataFrame, spec: TelemetrySpec = DEFAULT, *, seed: int = SEED
 
 
 def decompose(
-    base: Base, contender: Contender, spec: TelemetrySpec = DEFAULT
+    base: Base, contender: Contender, spec: TelemetrySpec = DEFAULT, *, fitted: Fitted | None = None
 ) -> tuple[float, DataFrame, DataFrame]:
-    """Overall AUC of the per-row rung, and its AUC by horizon and by mode."""
-    features = base.features[RUNGS[0]]
-    fitted = contender.fit(side(base.frame, "train"), features, spec)
+    """Overall AUC of the per-row rung, and its AUC by horizon and by mode. ``fitted``: that rung, if at hand."""
+    fitted = fitted or contender.fit(side(base.frame, "train"), base.features[RUNGS[0]], spec)
     timed = time_to_failure(base.frame, spec)
     scored = fitted.score(side(timed, "test")).select(
         "probability", "time_to_failure_h", spec.target, spec.mode
@@ -106,21 +110,25 @@ def stacking_probe(
     folds: int = FOLDS,
     seed: int = SEED,
     external: Mapping[str, tuple[DataFrame, DataFrame]] | None = None,
+    fitted: Mapping[str, Fitted] | None = None,
 ) -> DataFrame:
     """Does a logistic over out-of-fold scores beat the best rung on the test units?
 
     ``external`` adds rungs scored elsewhere: ``name -> (train scores, test scores)``, each a frame
-    of row key and ``probability`` that must cover exactly the rows of its side.
+    of row key and ``probability`` that must cover exactly the rows of its side. ``fitted`` has fits on all
+    train rows by rung, as far as they are at hand. Folds are dealt once for all rungs.
     """
     key = list(spec.key)
     labels = base.frame.select(*key, "split", spec.target)
     train, test = side(labels, "train"), side(labels, "test")
+    dealt = stored(grouped_folds(side(base.frame, "train"), spec, folds=folds), "folds")
     names = []
-    for name, features in base.features.items():
-        rows = base.frame.select(*dict.fromkeys([*key, "split", spec.target, *features]))
-        oof = oof_predictions(contender, side(rows, "train"), features, spec, folds=folds, out=name)
-        fitted = contender.fit(side(rows, "train"), features, spec)
-        full = fitted.score(side(rows, "test"), name)
+    for rung, features in base.features.items():
+        name = rung_name(rung, contender)
+        columns = list(dict.fromkeys([*key, spec.target, *features]))
+        oof = oof_predictions(contender, dealt.select(*columns, "fold"), features, spec, folds=folds, out=name)
+        model = (fitted or {}).get(rung) or contender.fit(side(base.frame, "train"), features, spec)
+        full = model.score(side(base.frame, "test").select(*columns), name)
         train = train.join(oof.select(*key, name), key)
         test = test.join(full.select(*key, name), key)
         names.append(name)
@@ -167,9 +175,12 @@ def ceiling_report(
 ) -> CeilingReport:
     contender = contender or boosted_model(seed)
     base = build_base(df, spec, seed=seed)
-    overall, by_horizon, by_mode = decompose(base, contender, spec)
+    per_row = contender.fit(side(base.frame, "train"), base.features[RUNGS[0]], spec)
+    overall, by_horizon, by_mode = decompose(base, contender, spec, fitted=per_row)
     bound = upper_bound(base, contender, overall, spec)
-    stacking = stacking_probe(base, contender, spec, folds=folds, seed=seed, external=external)
+    stacking = stacking_probe(
+        base, contender, spec, folds=folds, seed=seed, external=external, fitted={RUNGS[0]: per_row}
+    )
     return CeilingReport(overall, by_horizon, by_mode, bound, stacking)
 
 
@@ -195,9 +206,9 @@ def temporal_ladder(
     base = build_base(df, spec, seed=seed)
     train, test = side(base.frame, "train"), side(base.frame, "test")
     aucs = {}
-    for name, features in base.features.items():
+    for rung, features in base.features.items():
         fitted = contender.fit(train, features, spec)
-        aucs[name] = auc_of(fitted.score(test), "probability", spec.target)
+        aucs[rung_name(rung, contender)] = auc_of(fitted.score(test), "probability", spec.target)
     rows = base.frame.select(*spec.key, "split", *spec.signals, spec.target)
     windows, arrays = train_scaled_windows(
         rows, spec, side(rows, "train"), ["split", spec.target]
@@ -205,7 +216,7 @@ def temporal_ladder(
     net = sequence or sequence_model(seed, spec)
     fitted = net.fit(side(windows, "train"), arrays, spec)
     aucs["sequence"] = auc_of(fitted.score(side(windows, "test")), "probability", spec.target)
-    margin = aucs["sequence"] - aucs[RUNGS[1]]
+    margin = aucs["sequence"] - aucs[rung_name(RUNGS[1], contender)]
     winner = max(aucs, key=aucs.get)
     out = [(n, a, n == winner, margin if n == "sequence" else None) for n, a in aucs.items()]
     return df.sparkSession.createDataFrame(
