@@ -109,3 +109,10 @@ def remove(spark: SparkSession, path: str) -> bool:
     """Delete a folder on whatever file system it lies."""
     files, target = _at(spark, path)
     return files.delete(target, True)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system in front, as readers outside Spark need it."""
+    files, target = _at(spark, path)
+    full = files.makeQualified(target).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
