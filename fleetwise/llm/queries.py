@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwise.llm import chat, jaccard, licenses, nearest, pieces, ppm, shards, toxicity, urls, winnow
+from fleetwise.llm import chat, idfiles, infill, jaccard, licenses, nearest, pieces, ppm, shards, toxicity, urls, variants, winnow
+from fleetwise.shared import kept, new_path, scope, stored
 
-# The vocabulary file of the piece encoder; a parameter of the operator.
+# The vocabulary files of the encoders; parameters of the operators.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_PAIRS = "/opt/tokenizers/byte_bpe_50k.json"
+END_ID = 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -232,3 +235,68 @@ def op8(spark, sf_dir):
         F.regexp_extract("path", "([^/]*)$", 1).cast("bigint").alias("doc_id"), "path", "licence",
         F.round("cosine", 6).alias("cosine"), "origin", "licence_folder",
     )
+
+
+INFILL_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t,
+  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT doc_id, text, t, len(t)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda k: list_reduce(
+  list_prepend(0::BIGINT, list_transform(string_split(substr(h, k, 8), ''), lambda c: (instr('0123456789abcdef', c) - 1)::BIGINT)),
+  lambda a, b: 16 * a + b)) AS h FROM d),
+f AS (SELECT doc_id, text, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+    WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (SELECT doc_id, text, n, form, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:n], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM g
+"""
+
+
+@query("op11_fill_in_middle", INFILL_SQL)
+def op11(spark, sf_dir):
+    with scope():
+        framed = stored(infill.store(table(spark, sf_dir, "documents")), "frames")
+        return kept(infill.digests(infill.transform(framed)), "infill")
+
+
+VARIANTS_SQL = r"""
+WITH RECURSIVE places AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x::BIGINT, range(8)),
+    lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS crc),
+found AS (SELECT doc_id, w AS run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents) WHERE length(w) >= 6 GROUP BY doc_id, w),
+hashed AS (SELECT run, c, 4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+      lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, (unicode(x) - 64)::BIGINT] END))),
+    lambda a, b: xor(a // 256, crc[1 + xor(a % 256, b)::INTEGER])) AS h FROM found, places),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+holes AS (SELECT word, n, i, substr(word, 1, i::INTEGER - 1) || '*' || substr(word, i::INTEGER + 1) AS hole,
+    substr(word, 1, i::INTEGER - 1) || substr(word, i::INTEGER + 1) AS less FROM words, unnest(generate_series(1, length(word))) AS s(i)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM holes a JOIN words w ON w.word = a.less
+  UNION SELECT w.word, a.word, a.n FROM holes a JOIN words w ON w.word = a.less),
+best AS (SELECT word, count(*)::BIGINT AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * n THEN other END AS form,
+    CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS at FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word
+JOIN forms l ON l.word = c.at WHERE l.form IS NULL
+"""
+
+
+@query("op12_spelling_variants", VARIANTS_SQL)
+def op12(spark, sf_dir):
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_files")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    with scope():
+        files = stored(idfiles.write_ids(docs, idfiles.load(BYTE_PAIRS), new_path(spark, "ids"), END_ID), "files")
+        return kept(idfiles.digests(files), "id_digests")

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 # Names that the operators use inside.
-CLASH = "mark n k1 k2 prefix bins rep a b id cell words hashes score predicted worst train token_ids decoded n_words items size shard slot toxic block at".split()
+CLASH = "mark n k1 k2 prefix bins rep a b id cell words hashes score predicted worst train token_ids decoded n_words items size shard slot toxic block at marked units chars frames form output text_crc32 key edited first near best best_n start tie path shard".split()
 
 
 def with_clashes(df):
