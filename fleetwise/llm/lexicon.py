@@ -19,7 +19,8 @@ from fleetwise.llm.kernel import mix
 ROOM = 1 << 20  # chunks that are kept
 SLOT_BITS = 20
 SHORT = 15  # bytes of a chunk that fit its key, beside its length
-LONG = 512  # bytes beyond which a chunk is not kept
+LONG = 512  # bytes from which a chunk is long
+LONG_ROOM = 1 << 22  # bytes of long chunks that are kept
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -46,6 +47,7 @@ class Numbers:
         self.low = np.zeros(1 << SLOT_BITS, np.uint64)
         self.high = np.zeros(1 << SLOT_BITS, np.uint64)  # 0: nothing there, as no chunk has length 0
         self.at = np.zeros(1 << SLOT_BITS, np.int32)
+        self.long = 0
 
     def learn(self, new: list[bytes]) -> None:
         """Called with chunks not met before, in the order of their numbers."""
@@ -114,13 +116,12 @@ class Lexicon(Numbers):
     def lay_out(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunks in order, and how many each chunk has."""
         sizes = ends - starts
-        if len(self.known) > ROOM:
+        if len(self.known) > ROOM or self.long > LONG_ROOM:
             self.clear()
+        self.long += int(sizes[sizes >= LONG].sum())
         number = self.numbers(data, starts, sizes)
         counts = self.count[number]
         stops = np.cumsum(counts)
         total = int(stops[-1]) if len(stops) else 0
         ids = self.flat[np.arange(total) + np.repeat(self.first[number] - (stops - counts), counts)]
-        if len(sizes) and int(sizes.max()) > LONG:
-            self.clear()  # a chunk of any length is laid out, but not kept
         return ids, counts

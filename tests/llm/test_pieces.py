@@ -59,10 +59,46 @@ def test_decoding_other_ids(spark, vocabulary):
     assert {r.doc_id: r.decoded for r in pieces.decode(frame, vocabulary).collect()} == {1: "", 2: None, 3: ""}
 
 
-def test_forgetting_the_cache(spark, vocabulary, monkeypatch):
-    monkeypatch.setattr(pieces, "CACHE", 3)
-    rows = [(i, f"word{i} common word{i + 1}") for i in range(50)]
-    assert all(r.restored for r in pieces.encoded_and_back(documents(spark, rows), vocabulary).collect())
+def whole_text(text, vocabulary):
+    """The best cut of a whole marked text by the same rule, nothing shared and nothing cut beforehand."""
+    return pieces.segment([pieces.mark(text)], vocabulary)[pieces.mark(text)] if text else []
+
+
+def test_words_are_cut_where_no_piece_reaches(spark, vocabulary):
+    rng = random.Random(7)
+    signs = "ab e,.-'(\n\t0123é▁日_\x00<0x0A>"
+    rows = [(i, "".join(rng.choice(signs) for _ in range(rng.randrange(60)))) for i in range(300)] + AWKWARD[2:9]
+    got = {r.doc_id: list(r.token_ids) for r in pieces.encode(documents(spark, rows), vocabulary).collect()}
+    for i, text in rows:
+        want = whole_text(text, vocabulary)
+        assert got[i] == want, text
+
+
+def test_forgetting_words(vocabulary, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from fleetwise.llm import lexicon
+
+    monkeypatch.setattr(lexicon, "ROOM", 3)
+    found = pieces.lexicon_of(vocabulary)
+    for k in range(20):
+        texts = [f"word{k} common word{k + 1}", None, "z" * 600]
+        data, at = pieces.marked(pa.array(texts))
+        starts = pieces.word_starts(data, at, vocabulary)
+        ids, counts = found.lay_out(data, starts, np.append(starts[1:], len(data)))
+        assert ids.tolist() == [i for t in texts for i in whole_text(t, vocabulary)]
+
+
+def test_one_word_of_a_million_characters(vocabulary):
+    import time
+
+    rng = random.Random(3)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    began = time.perf_counter()
+    ids = pieces.segment([word], vocabulary)[word]
+    assert time.perf_counter() - began < 20
+    assert b"".join(vocabulary.bytes_of[i] for i in ids).decode() == word
 
 
 def test_empty_table(spark, vocabulary):
