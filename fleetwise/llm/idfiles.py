@@ -42,6 +42,7 @@ from fleetwise.shared import qualified
 MAGIC = b"IDS8"
 FOOT = struct.Struct("<QQQ4s")
 HEAD = struct.Struct("<QQQQ")  # documents, ids, words, escapes
+ROOM = 1 << 20  # chunks that a worker keeps
 SEGMENT = 1 << 19  # ids after which a segment ends; a document is never parted
 
 FILES = "shard int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -112,7 +113,7 @@ def _worker(encoder: Encoder) -> _Worker:
 
         added = tuple(t.content.encode() for t in tokenizer.get_added_tokens_decoder().values())
         _workers.clear()
-        _workers[encoder.text] = _Worker(tokenizer, Lexicon(encode) if encoder.cuts else None, added)
+        _workers[encoder.text] = _Worker(tokenizer, Lexicon(encode, ROOM) if encoder.cuts else None, added)
     return _workers[encoder.text]
 
 

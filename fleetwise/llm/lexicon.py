@@ -4,7 +4,7 @@ An encoder that treats chunks of a text independently need not see every occurre
 ``Lexicon`` keeps what it has worked out and lays the ids of all chunks of a slice out with array
 operations: chunks of up to 15 bytes are two 64-bit numbers (bytes and length, so nothing is told
 apart by a hash alone), looked up in a table with one place per hash; what misses its place is made
-distinct and looked up by its bytes. Memory is bounded: beyond ``ROOM`` chunks it starts anew.
+distinct and looked up by its bytes. Memory is bounded: beyond ``room`` chunks it starts anew.
 """
 
 from __future__ import annotations
@@ -89,8 +89,8 @@ class Numbers:
 class Lexicon(Numbers):
     """Ids of chunks: ``encode`` gives those of a list of distinct chunks, one sequence for each."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]]) -> None:
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], Sequence[Sequence[int]]], room: int = ROOM) -> None:
+        self.encode, self.room = encode, room
         super().__init__()
 
     def clear(self) -> None:
@@ -116,7 +116,7 @@ class Lexicon(Numbers):
     def lay_out(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunks in order, and how many each chunk has."""
         sizes = ends - starts
-        if len(self.known) > ROOM or self.long > LONG_ROOM:
+        if len(self.known) > self.room or self.long > LONG_ROOM:
             self.clear()
         self.long += int(sizes[sizes >= LONG].sum())
         number = self.numbers(data, starts, sizes)

@@ -31,6 +31,8 @@ from fleetwise.llm.kernel import slices, text_bytes
 from fleetwise.llm.lexicon import Lexicon
 
 MARK = "▁"
+ROOM = 1 << 19  # words that a worker keeps
+PART = 1 << 18  # ids that are decoded at once, or one row's
 INFINITE = float("inf")
 
 
@@ -158,7 +160,7 @@ def lexicon_of(vocabulary: Vocabulary) -> Lexicon:
         found = segment(set(words), vocabulary)
         return [found[w] for w in words]
 
-    return Lexicon(ids_of)
+    return Lexicon(ids_of, ROOM)
 
 
 _workers: dict[str, tuple[Vocabulary, Lexicon]] = {}  # a worker's words serve its next task
@@ -216,7 +218,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("do
 
 def joined(lists: pa.ListArray, pieces: pa.Array) -> pa.Array:
     """The texts that lists of ids stand for; a null list is null, bytes that are no text become question marks."""
-    texts = pa.ListArray.from_arrays(lists.offsets, pieces.take(lists.values))
+    begins = lists.offsets.to_numpy()
+    if not len(lists):
+        return pa.array([], pa.string())
+    ids = lists.values.slice(begins[0], begins[-1] - begins[0])
+    texts = pa.ListArray.from_arrays(pa.array(begins - begins[0]), pieces.take(ids))
     raw = pc.binary_join(texts, pa.scalar(b""))
     if lists.null_count:
         raw = pc.if_else(lists.is_valid(), raw, pa.scalar(None, pa.binary()))
@@ -238,7 +244,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(shared.value, pa.binary())
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), joined(batch.column("token_ids"), pieces)], [*names, "decoded"])
+            counts = pc.fill_null(pc.list_value_length(batch.column("token_ids")), 0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(counts) // PART)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), joined(part.column("token_ids"), pieces)], [*names, "decoded"])
 
     kind = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in names)
     return encoded.select(*names).mapInArrow(run, f"{kind}, decoded string")

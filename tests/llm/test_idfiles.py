@@ -74,9 +74,8 @@ def _encoder():
 
 
 def test_forgetting_chunks(library, encoder, monkeypatch):
-    from fleetwise.llm import lexicon
-
-    monkeypatch.setattr(lexicon, "ROOM", 3)
+    monkeypatch.setattr(idfiles, "ROOM", 3)
+    idfiles._workers.clear()
     rng = random.Random(2)
     worker = idfiles._worker(encoder)
     for _ in range(20):

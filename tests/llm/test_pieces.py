@@ -78,9 +78,7 @@ def test_forgetting_words(vocabulary, monkeypatch):
     import numpy as np
     import pyarrow as pa
 
-    from fleetwise.llm import lexicon
-
-    monkeypatch.setattr(lexicon, "ROOM", 3)
+    monkeypatch.setattr(pieces, "ROOM", 3)
     found = pieces.lexicon_of(vocabulary)
     for k in range(20):
         texts = [f"word{k} common word{k + 1}", None, "z" * 600]
