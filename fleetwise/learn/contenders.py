@@ -1,25 +1,22 @@
-"""The two classifiers, as MLlib pipelines built by name."""
+"""The two classifiers, built by name: an MLlib pipeline and boosted trees on histograms."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from fleetwise.learn import boosting as bo
 from fleetwise.operators.grading import DegenerateSplit
 from fleetwise.operators.projection import assert_no_leakage
+from fleetwise.shared import scope
 from fleetwise.spec import DEFAULT, SEED, TelemetrySpec
 
 # Defaults and the parameters a search may change.
@@ -30,12 +27,11 @@ BOOSTED_DEFAULTS = {
     "learning_rate": 0.05,
     "num_leaves": 31,
     "min_child_samples": 20,
-    "min_info_gain": 0.0,
+    "reg_lambda": 0.0,
 }
 BOOSTED_TUNABLE = tuple(BOOSTED_DEFAULTS)
 
 WEIGHT = "_weight"
-MISSING = -1.0e6  # below every signal; trees split it off, and an indicator marks it
 
 
 @dataclass(frozen=True)
@@ -89,48 +85,31 @@ class Fitted:
     features: tuple[str, ...]
     model: PipelineModel
     present: tuple[str, ...]  # features with a value in the fit
-    marked: tuple[str, ...] = ()  # features whose absence is a feature of its own
 
     def score(self, df: DataFrame, out: str = "probability") -> DataFrame:
         keep = df.columns
-        ready = _prepared(df, self.name, self.present, self.marked)
+        ready = _prepared(df, self.name, self.present)
         scored = self.model.transform(ready)
         return scored.select(*keep, vector_to_array("probability")[1].alias(out))
 
     def importance(self) -> list[tuple[str, float]]:
-        """Features by impurity gain (trees) or absolute scaled coefficient, largest first.
-
-        A feature and its absence mark count together.
-        """
-        last = self.model.stages[-1]
-        if self.name == "logreg":
-            weights = [abs(v) for v in last.coefficients.toArray()]
-        else:
-            weights = last.featureImportances.toArray().tolist()
-        owners = [*self.present, *self.marked]
-        sums = {f: 0.0 for f in self.features}
-        for f, v in zip(owners, weights):
-            sums[f] += float(v)
+        """Features by absolute scaled coefficient, largest first."""
+        weights = [abs(float(v)) for v in self.model.stages[-1].coefficients.toArray()]
+        sums = {f: 0.0 for f in self.features} | dict(zip(self.present, weights, strict=True))
         return sorted(sums.items(), key=lambda kv: kv[1], reverse=True)
 
 
-def _prepared(df: DataFrame, name: str, present: Sequence[str], marked: Sequence[str]) -> DataFrame:
-    if name == "logreg":
-        return df.select("*", *[F.col(c).cast("double").alias(f"_x_{c}") for c in present])
+def _prepared(df: DataFrame, name: str, present: Sequence[str]) -> DataFrame:
     if name == "sequence":  # the features are arrays, laid end to end
         return df.select("*", array_to_vector(F.concat(*present)).alias("_features"))
-    return df.select(
-        "*",
-        *[F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(f"_x_{c}") for c in present],
-        *[F.col(c).isNull().cast("double").alias(f"_na_{c}") for c in marked],
-    )
+    return df.select("*", *[F.col(c).cast("double").alias(f"_x_{c}") for c in present])
 
 
 @dataclass(frozen=True)
 class Contender:
     name: str
     params: Mapping[str, object]
-    build: Callable[[Profile, list[str], list[str], str], Pipeline] = field(repr=False)
+    build: Callable[[Profile, list[str], str], Pipeline] | None = field(default=None, repr=False)
 
     def fit(
         self,
@@ -147,24 +126,20 @@ class Contender:
         if not p.two_classes:
             raise DegenerateSplit("cannot fit on one class")
         present = tuple(c for c in features if p.present[c] > 0)
-        marked = (
-            tuple(c for c in present if p.present[c] < p.rows) if self.name == "boosted" else ()
-        )
         rows = df.select(*features, F.col(label).cast("double").alias(label))
         if self.params.get("repeat_rare"):
             rows = repeated(rows, label, p, int(self.params["seed"]))
         rows = rows.withColumn(WEIGHT, balanced(label, p))
-        ready = _prepared(rows, self.name, present, marked).persist(StorageLevel.MEMORY_AND_DISK)
+        ready = _prepared(rows, self.name, present).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             model = self.build(
                 p,
                 [f"_x_{c}" for c in present],
-                [f"_na_{c}" for c in marked],
                 label,
             ).fit(ready)
         finally:
             ready.unpersist()
-        return Fitted(self.name, tuple(features), model, present, marked)
+        return Fitted(self.name, tuple(features), model, present)
 
 
 def _checked(
@@ -181,7 +156,7 @@ def logreg_model(seed: int = SEED, overrides: Mapping[str, object] | None = None
     """Median fill, standard scale, logistic regression with balanced classes."""
     params = _checked(overrides, LOGREG_TUNABLE, LOGREG_DEFAULTS, "logreg")
 
-    def build(p: Profile, values: list[str], marks: list[str], label: str) -> Pipeline:
+    def build(p: Profile, values: list[str], label: str) -> Pipeline:
         filled = [f"{c}_filled" for c in values]
         return Pipeline(
             stages=[
@@ -207,7 +182,7 @@ def stack_model(seed: int = SEED, *, c: float = 1.0, max_iter: int = 1000) -> Co
     """Logistic regression with balanced classes over scores as they are: no fill, no scaling."""
     params = {"C": c, "max_iter": max_iter}
 
-    def build(p: Profile, values: list[str], marks: list[str], label: str) -> Pipeline:
+    def build(p: Profile, values: list[str], label: str) -> Pipeline:
         return Pipeline(
             stages=[
                 VectorAssembler(inputCols=values, outputCol="_raw"),
@@ -225,29 +200,39 @@ def stack_model(seed: int = SEED, *, c: float = 1.0, max_iter: int = 1000) -> Co
     return Contender("logreg", {**params, "seed": seed}, build)
 
 
-def boosted_model(seed: int = SEED, overrides: Mapping[str, object] | None = None) -> Contender:
-    """Boosted trees with balanced classes; a missing value is its own branch."""
-    params = _checked(overrides, BOOSTED_TUNABLE, BOOSTED_DEFAULTS, "boosted")
+@dataclass(frozen=True)
+class BoostedContender(Contender):
+    """Trees on histograms; models for several folds come from one job."""
+
+    def fit(self, df: DataFrame, features: Sequence[str], spec: TelemetrySpec = DEFAULT, *, label: str | None = None) -> bo.Boosted:
+        return self._fitted(df, features, spec, label, None, [None])[None]
+
+    def fit_folds(
+        self, df: DataFrame, features: Sequence[str], spec: TelemetrySpec = DEFAULT, *, folds: Sequence[int], label: str | None = None
+    ) -> dict[int, bo.Boosted]:
+        """For every fold the model that did not see it; folds whose other rows hold one class have none. Bins are shared."""
+        return self._fitted(df, features, spec, label, "fold", folds)
+
+    def _fitted(self, df, features, spec, label, fold, holds) -> dict:
+        label = label or spec.target
+        assert_no_leakage(features, spec)
+        with scope():
+            data = bo.table(df, features, label, fold)
+            fine = [h for h in holds if 0 < data.balance(h)[1] < data.balance(h)[0]]
+            if None in holds and not fine:
+                raise DegenerateSplit("cannot fit on one class")
+            if not fine:
+                return {}
+            rows = bo.advance(bo.models(df.sparkSession, [(self.params, h) for h in fine]), data).collect()
+            return {
+                r["hold"]: bo.Boosted(self.name, tuple(features), data.bins, tuple(bo.from_bytes(r["trees"]))) for r in rows
+            }
 
-    def build(p: Profile, values: list[str], marks: list[str], label: str) -> Pipeline:
-        return Pipeline(
-            stages=[
-                VectorAssembler(inputCols=[*values, *marks], outputCol="_features"),
-                GBTClassifier(
-                    featuresCol="_features",
-                    labelCol=label,
-                    weightCol=WEIGHT,
-                    maxIter=int(params["n_estimators"]),
-                    stepSize=float(params["learning_rate"]),
-                    maxDepth=max(1, math.ceil(math.log2(int(params["num_leaves"])))),
-                    minInstancesPerNode=int(params["min_child_samples"]),
-                    minInfoGain=float(params["min_info_gain"]),
-                    seed=seed,
-                ),
-            ]
-        )
 
-    return Contender("boosted", {**params, "seed": seed}, build)
+def boosted_model(seed: int = SEED, overrides: Mapping[str, object] | None = None) -> Contender:
+    """Boosted trees with balanced classes; every split learns the side of missing values."""
+    params = _checked(overrides, BOOSTED_TUNABLE, BOOSTED_DEFAULTS, "boosted")
+    return BoostedContender("boosted", {**params, "seed": seed})
 
 
 def sequence_model(
@@ -265,7 +250,7 @@ def sequence_model(
     params = {"hidden": hidden, "max_iter": max_iter, "repeat_rare": repeat_rare}
     cells = 2 * len(spec.signals) * spec.window_rows
 
-    def build(p: Profile, values: list[str], marks: list[str], label: str) -> Pipeline:
+    def build(p: Profile, values: list[str], label: str) -> Pipeline:
         return Pipeline(
             stages=[
                 MultilayerPerceptronClassifier(

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from fleetwise.detectors.joint import TREES
 from fleetwise.detectors.ladder import SUSPECT, SuspectFeature
-from fleetwise.learn.contenders import BUILDERS, Contender, Fitted, model_field
+from fleetwise.learn import boosting as bo
+from fleetwise.learn.contenders import BUILDERS, BoostedContender, Contender, Fitted, model_field
+from fleetwise.learn.logistic import fit_many
+from fleetwise.learn.logistic import held_scores as logistic_scores
 from fleetwise.operators.grading import (
     DegenerateSplit,
     audit_fit,
@@ -24,12 +27,15 @@ from fleetwise.operators.grading import (
     threshold_sweep,
 )
 from fleetwise.operators.ordered import running_totals
+from fleetwise.operators.projection import assert_no_leakage
 from fleetwise.operators.splits import grouped_folds, grouped_split, unit_draw
 from fleetwise.plans.promotion import best_run
 from fleetwise.shared import scope, stored
 from fleetwise.spec import DEFAULT, FOLDS, SEED, TelemetrySpec
 
 CURVE_SHARES = (0.25, 0.5, 0.75, 1.0)
+RUNG_SHARES = (1 / 9, 1 / 3, 1.0)  # of a trial's trees, after which the worse trials stop
+KEEP_ONE_OF = 3
 SCORE_SCHEMA = "name string, contender_order int, roc_auc double, n_train long, n_test long"
 
 
@@ -119,6 +125,9 @@ def oof_predictions(
     """
     dealt = train if "fold" in train.columns else stored(grouped_folds(train, spec, folds=folds), "folds")
     numbers = sorted(r[0] for r in dealt.select("fold").distinct().collect())  # at most `folds`
+    if isinstance(contender, BoostedContender):
+        models = contender.fit_folds(dealt, features, spec, folds=numbers)
+        return dealt.withColumn(out, bo.scores(models)(F.col("fold").cast("int"), *[F.col(c).cast("double") for c in features]))
 
     def one(k: int) -> DataFrame:
         held, rest = dealt.filter(F.col("fold") == k), dealt.filter(F.col("fold") != k)
@@ -155,10 +164,20 @@ def suggest(name: str, draw: random.Random) -> dict[str, object]:
         "learning_rate": log_uniform(0.01, 0.2),
         "num_leaves": draw.randint(15, 127),
         "min_child_samples": draw.randint(10, 100),
-        "min_info_gain": log_uniform(1e-6, 1e-2),
+        "reg_lambda": log_uniform(1e-3, 10.0),
     }
 
 
+def _mean_auc(scored: DataFrame, trial_of: Mapping[int, int]) -> dict[int, float]:
+    """The mean over folds of each trial's AUC on held-out rows; one-class folds are skipped."""
+    graded = roc_auc(scored, "score", "y", ["model"]).collect()  # one row a trial and fold
+    found: dict[int, list[float]] = {}
+    for r in graded:
+        if r["roc_auc"] is not None:
+            found.setdefault(trial_of[r["model"]], []).append(r["roc_auc"])
+    return {k: sum(v) / len(v) for k, v in found.items()}
+
+
 def param_search(
     name: str,
     train: DataFrame,
@@ -168,20 +187,49 @@ def param_search(
     trials: int = 40,
     folds: int = FOLDS,
     seed: int = SEED,
+    rungs: Sequence[float] = RUNG_SHARES,
+    keep: int = KEEP_ONE_OF,
 ) -> list[dict]:
-    """Seeded random search on the train units, best trial first.
+    """Seeded random search on the train units, best trial first. Rows may bring their ``fold``.
 
-    Folds are dealt and written once; every trial reads them. Rows may bring their ``fold``.
+    Logistic trials are fitted together to their end. Boosted trials are halved: all get the first share of
+    their trees, the best one of ``keep`` go on from the trees they have, and so on; the models of a rung are
+    grown in the same job. A result says how many ``trees`` its score is from; trials that got further come first.
     """
+    assert_no_leakage(features, spec)
     draw = random.Random(f"{seed}:{name}")
-    results = []
+    points = [suggest(name, draw) for _ in range(trials)]
     with scope():
         dealt = train if "fold" in train.columns else stored(grouped_folds(train, spec, folds=folds), "folds")
-        for trial in range(trials):
-            params = suggest(name, draw)
-            auc = grouped_cv_auc(BUILDERS[name](seed, params), dealt, features, spec, folds=folds)
-            results.append({"name": name, "trial": trial, "cv_auc": auc, "params": params})
-    return sorted(results, key=lambda r: -math.inf if r["cv_auc"] is None else r["cv_auc"], reverse=True)
+        numbers = sorted(r[0] for r in dealt.select("fold").distinct().collect())  # at most `folds`
+        if name == "logreg":
+            wanted = [(float(p["C"]), k) for p in points for k in numbers]
+            scale, beta = fit_many(dealt, features, spec.target, wanted)
+            scored = logistic_scores(dealt, features, spec.target, wanted, scale, beta)
+            aucs = _mean_auc(scored, {m: m // len(numbers) for m in range(len(wanted))})
+            results = [{"name": name, "trial": k, "cv_auc": aucs.get(k), "trees": None, "params": p, "rung": 0} for k, p in enumerate(points)]
+        else:
+            results = _halved(name, dealt, features, spec, points, numbers, seed, rungs, keep)
+    return sorted(results, key=lambda r: (r["rung"], -math.inf if r["cv_auc"] is None else r["cv_auc"]), reverse=True)
+
+
+def _halved(name, dealt, features, spec, points, numbers, seed, rungs, keep) -> list[dict]:
+    data = bo.table(dealt, features, spec.target, "fold")
+    contenders = [BUILDERS[name](seed, p) for p in points]
+    wanted = [(c.params, k) for c in contenders for k in numbers]
+    trial_of = {m: m // len(numbers) for m in range(len(wanted))}
+    state = bo.models(dealt.sparkSession, wanted)
+    results = {k: {"name": name, "trial": k, "cv_auc": None, "trees": 0, "params": p, "rung": 0} for k, p in enumerate(points)}
+    alive = list(results)
+    for rung, share in enumerate(rungs):
+        state = bo.advance(state, data, share)
+        aucs = _mean_auc(bo.held_scores(state, data), trial_of)
+        for k in alive:
+            trees = max(1, round(contenders[k].params["n_estimators"] * share))
+            results[k] |= {"cv_auc": aucs.get(k), "trees": trees, "rung": rung}
+        alive = sorted((k for k in alive if k in aucs), key=lambda k: (-aucs[k], k))[: -(-len(alive) // keep)]
+        state = state.where(F.col("model").isin([m for m, k in trial_of.items() if k in alive]))
+    return list(results.values())
 
 
 def learning_curve(
@@ -224,7 +272,7 @@ def learning_curve(
 
 
 def importance_table(spark, fitted: Fitted) -> DataFrame:
-    kind = "abs_coefficient" if fitted.name == "logreg" else "impurity_gain"
+    kind = "abs_coefficient" if fitted.name == "logreg" else "gain_share"
     rows = [(fitted.name, kind, f, v) for f, v in fitted.importance()]
     return spark.createDataFrame(rows, "model string, kind string, feature string, importance double")
 

@@ -22,7 +22,7 @@ from fleetwise.queries.base import (
     scored,
     union,
 )
-from fleetwise.queries.tables import _EVENTS, SHIFTS, unit_classes
+from fleetwise.queries.tables import _BESIDE, _EVENTS, SHIFTS, unit_classes
 from fleetwise.sources.stand_in import readings
 from fleetwise.spec import DEFAULT, FAILURE_MODES, FAMILIES, SIGNALS
 
@@ -261,8 +261,8 @@ def window_tensor(spark, sf_dir):
     "time_to_failure",
     on_readings(
         """SELECT unit_id, t_index, CASE WHEN failure_within_h = 1 THEN event_time - timestamp_h
-  ELSE CAST('Infinity' AS DOUBLE) END AS time_to_failure_h FROM readings LEFT JOIN events_at USING (unit_id)""",
-        _EVENTS,
+  ELSE CAST('Infinity' AS DOUBLE) END AS time_to_failure_h FROM beside""",
+        _BESIDE,
     ),
 )
 def time_to_failure(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 from operator import and_
 
@@ -34,22 +35,31 @@ from fleetwise.queries.base import (
     scored,
 )
 from fleetwise.queries.tables import _PAIRS, _SIGNALS, _WORDS, SHIFTS
-from fleetwise.shared import new_path
+from fleetwise.operators.grading import auc_of
+from fleetwise.shared import kept, new_path, scope, stored
 from fleetwise.sources.predictions import LOG_SCHEMA
 from fleetwise.sources.stand_in import once, once_at, readings, readings_at, table
-from fleetwise.spec import DEFAULT, SIGNALS
+from fleetwise.spec import DEFAULT, SEED, SIGNALS
 from fleetwise.streaming import jobs as st
 
 KEY = DEFAULT.key
 
-def _sound(df, *scores):
-    """The rows' keys, and whether every score is a finite number from 0 to 1."""
-    fine = reduce(and_, [F.col(c).isNotNull() & F.col(c).between(0.0, 1.0) for c in scores])
-    return df.select(*KEY, fine.alias("sound"))
+def _fine(*scores):
+    return reduce(and_, [F.col(c).isNotNull() & F.col(c).between(0.0, 1.0) for c in scores])
 
 
-_ALL_SOUND = on_readings("SELECT unit_id, t_index, true AS sound FROM readings")
-_TEST_SOUND = on_readings("SELECT unit_id, t_index, true AS sound FROM halves WHERE split = 'test'", _SPLIT)
+def _ranking(df, truth, label, floors):
+    """The rows' keys, whether every score is sound, and whether each ranks the label at least as well as its
+    floor (an AUC that random scores miss by far). ``truth`` has the label of every row."""
+    with scope():
+        scored_ = stored(df.select(*KEY, *floors), "scored")
+        both = stored(scored_.join(truth.select(*KEY, F.col(label).cast("int").alias("_label")), list(KEY)), "ranked")
+        good = all((auc_of(both, c, "_label") or 0.0) >= floor for c, floor in floors.items())
+        return kept(scored_.select(*KEY, _fine(*floors).alias("sound"), F.lit(good).alias("ranks")), "sound")
+
+
+_ALL_SOUND = on_readings("SELECT unit_id, t_index, true AS sound, true AS ranks FROM readings")
+_TEST_SOUND = on_readings("SELECT unit_id, t_index, true AS sound, true AS ranks FROM halves WHERE split = 'test'", _SPLIT)
 
 
 def _filled(spark, sf_dir):
@@ -60,32 +70,37 @@ def _filled(spark, sf_dir):
 # -- detectors -----------------------------------------------------------------------------------
 
 
+def _outliers(spark, sf_dir, found, floors):
+    return _ranking(found, readings(spark, sf_dir), "is_outlier", floors)
+
+
 @query("isolation_forest", _ALL_SOUND)
 def isolation_forest(spark, sf_dir):
     df = _filled(spark, sf_dir)
-    return _sound(IsolationForest().fit(df).transform(df), "isolation")
+    return _outliers(spark, sf_dir, IsolationForest().fit(df).transform(df), {"isolation": 0.8})
 
 
-@query("robust_mahalanobis", on_readings("SELECT unit_id, t_index, true AS sound FROM readings"))
+@query("robust_mahalanobis", _ALL_SOUND)
 def robust_mahalanobis(spark, sf_dir):
+    """Distances, brought into [0, 1) by d / (1 + d), which keeps their order."""
     df = _filled(spark, sf_dir)
     found = RobustDistance().fit(df).transform(df)
-    fine = (F.col("distance") >= 0) & (F.col("distance") < float("inf"))
-    return found.select(*KEY, F.coalesce(fine, F.lit(False)).alias("sound"))
+    near = F.col("distance") / (1 + F.col("distance"))
+    return _outliers(spark, sf_dir, found.withColumn("distance", near), {"distance": 0.95})
 
 
 @query("multivariate_detector", _ALL_SOUND)
 def multivariate_detector(spark, sf_dir):
     df = readings(spark, sf_dir).select(*KEY, *SIGNALS)
     model = MultivariateDetector().fit(df)
-    return _sound(model.transform(df), model.name)
+    return _outliers(spark, sf_dir, model.transform(df), {model.name: 0.8})
 
 
 @query("reconstruction_detector", _ALL_SOUND)
 def reconstruction_detector(spark, sf_dir):
     df = readings(spark, sf_dir).select(*KEY, *SIGNALS)
     model = ReconstructionDetector().fit(df)
-    return _sound(model.transform(df), model.name)
+    return _outliers(spark, sf_dir, model.transform(df), {model.name: 0.85})
 
 
 def _train_rows(spark, sf_dir):
@@ -97,7 +112,8 @@ def _train_rows(spark, sf_dir):
 def fit_score_ladder(spark, sf_dir):
     """Fitted on the train units, scoring all units."""
     model = DetectorLadder().fit(_train_rows(spark, sf_dir))
-    return _sound(model.transform(readings(spark, sf_dir).select(*KEY, *SIGNALS)), *model.names)
+    found = model.transform(readings(spark, sf_dir).select(*KEY, *SIGNALS))
+    return _outliers(spark, sf_dir, found, {n: 0.65 for n in model.names})
 
 
 @query("detector_grades")
@@ -109,7 +125,8 @@ def detector_grades(spark, sf_dir):
 @query("signal_suspect", _ALL_SOUND)
 def signal_suspect(spark, sf_dir):
     model = SuspectFeature().fit(_train_rows(spark, sf_dir))
-    return _sound(model.transform(readings(spark, sf_dir).select(*KEY, *SIGNALS)), SUSPECT)
+    found = model.transform(readings(spark, sf_dir).select(*KEY, *SIGNALS))
+    return _outliers(spark, sf_dir, found, {SUSPECT: 0.9})
 
 
 # -- models --------------------------------------------------------------------------------------
@@ -123,40 +140,33 @@ def _frame(spark, sf_dir):
     )
 
 
-_fits: dict[tuple[str, str], ct.Fitted] = {}
-
-
 def _boosted(spark, sf_dir):
-    """The boosted contender, fitted once per application and table."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _fits:
-        _fits[key] = ct.boosted_model().fit(tr.side(_frame(spark, sf_dir), "train"), SIGNALS)
-    return _fits[key]
+    return ct.boosted_model().fit(tr.side(_frame(spark, sf_dir), "train"), SIGNALS)
 
 
-def _scored_test(fitted, spark, sf_dir):
-    """Test keys, and whether their probabilities are sound. The tests look at how well they rank."""
-    return _sound(fitted.score(tr.side(_frame(spark, sf_dir), "test")), "probability")
+def _scored_test(fitted, spark, sf_dir, floor):
+    test = tr.side(_frame(spark, sf_dir), "test")
+    return _ranking(fitted.score(test), test, DEFAULT.target, {"probability": floor})
 
 
 @query("logreg_model", _TEST_SOUND)
 def logreg_model(spark, sf_dir):
     fitted = ct.logreg_model().fit(tr.side(_frame(spark, sf_dir), "train"), SIGNALS)
-    return _scored_test(fitted, spark, sf_dir)
+    return _scored_test(fitted, spark, sf_dir, 0.7)
 
 
 @query("boosted_model", _TEST_SOUND)
 def boosted_model(spark, sf_dir):
-    return _scored_test(_boosted(spark, sf_dir), spark, sf_dir)
+    return _scored_test(_boosted(spark, sf_dir), spark, sf_dir, 0.8)
 
 
-@query("score_batch", on_readings("SELECT unit_id, t_index, true AS sound, '1' AS model_version FROM readings"))
+@query("score_batch", on_readings("SELECT unit_id, t_index, true AS sound, true AS ranks, '1' AS model_version FROM readings"))
 def score_batch(spark, sf_dir):
     """A model fitted on train units scores every row, with its version beside the score."""
     frame = _frame(spark, sf_dir)
     fitted = ct.logreg_model().fit(tr.side(frame, "train"), SIGNALS)
     out = fitted.score(readings(spark, sf_dir).select(*KEY, *SIGNALS))
-    return _sound(out, "probability").withColumn("model_version", F.lit("1"))
+    return _ranking(out, frame, DEFAULT.target, {"probability": 0.7}).withColumn("model_version", F.lit("1"))
 
 
 _FIELD = ", ".join(
@@ -189,63 +199,118 @@ def model_field(spark, sf_dir):
 @query(
     "train_compare",
     on_readings(
-        """SELECT name, contender_order, true AS sound, n_train, n_test FROM (VALUES (0, 'logreg'), (1, 'boosted')) AS v(contender_order, name),
+        """SELECT name, contender_order, true AS ranks, name = 'boosted' AS wins, n_train, n_test FROM (VALUES (0, 'logreg'), (1, 'boosted')) AS v(contender_order, name),
   (SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test FROM halves)""",
         _SPLIT,
     ),
 )
 def train_compare(spark, sf_dir):
-    scores = tr.train_compare(readings(spark, sf_dir)).scores
-    return scores.select("name", "contender_order", F.col("roc_auc").between(0.0, 1.0).alias("sound"), "n_train", "n_test")
+    compared = tr.train_compare(readings(spark, sf_dir))
+    ranks = F.col("roc_auc") >= F.when(F.col("name") == "boosted", 0.8).otherwise(0.7)
+    wins = F.col("name") == compared.winner
+    return compared.scores.select("name", "contender_order", ranks.alias("ranks"), wins.alias("wins"), "n_train", "n_test")
 
 
-@query("grouped_cv_auc", "SELECT 'logreg' AS name, true AS sound")
+@query("grouped_cv_auc", "SELECT 'logreg' AS name, true AS ranks")
 def grouped_cv_auc(spark, sf_dir):
     train = tr.side(_frame(spark, sf_dir), "train")
     auc = tr.grouped_cv_auc(ct.logreg_model(), train, SIGNALS)
-    return spark.createDataFrame([("logreg", auc is None or 0 <= auc <= 1)], "name string, sound boolean")
+    return spark.createDataFrame([("logreg", auc is not None and 0.7 <= auc <= 1)], "name string, ranks boolean")
+
+
+def _points() -> str:
+    """The points of the search, by contender and trial, as SQL values."""
+    rows = []
+    for name in ct.BUILDERS:
+        draw = random.Random(f"{SEED}:{name}")
+        for trial in range(40):
+            p = tr.suggest(name, draw)
+            rows.append(f"('{name}', {trial}, {p.get('n_estimators', 'NULL')}, {float(p.get('C', p.get('learning_rate')))!r}e0)")
+    return ", ".join(rows)
 
 
-@query("param_search")
+# Trials by rung: 40 begin, the best 14 of them go on, and 5 of these to the end. Names, trials, points and these counts are stated.
+_SEARCH_SQL = f"""SELECT name, trial, n_estimators, scale, 40 AS n_trials, CASE name WHEN 'boosted' THEN 5 ELSE 40 END AS n_ended,
+  CASE name WHEN 'boosted' THEN 9 ELSE 0 END AS n_halfway, true AS trees_fit, true AS sound, true AS best_first
+FROM (VALUES {_points()}) AS v(name, trial, n_estimators, scale)"""
+
+
+@query("param_search", _SEARCH_SQL)
 def param_search(spark, sf_dir):
+    """Both contenders searched at the defaults. ``trees_fit``: a trial's score is from the trees that its rung allows."""
     train = tr.side(_frame(spark, sf_dir), "train")
     dealt = once(spark, sf_dir, "train_folds", lambda: sp.grouped_folds(train))
-    found = [r for name in ct.BUILDERS for r in tr.param_search(name, dealt, SIGNALS)]
-    rows = [(r["name"], r["trial"], r["cv_auc"], str(r["params"])) for r in found]
-    return spark.createDataFrame(rows, "name string, trial int, cv_auc double, params string")
+    rows = []
+    for name in ct.BUILDERS:
+        found = tr.param_search(name, dealt, SIGNALS)
+        last = max(r["rung"] for r in found)
+        ended = [r for r in found if r["rung"] == last]
+        halfway = [r for r in found if 0 < r["rung"] < last]
+        ordered = all(a["cv_auc"] >= b["cv_auc"] for a, b in zip(ended, ended[1:])) and found[: len(ended)] == ended  # noqa: B905
+        for r in found:
+            p = r["params"]
+            n, share = p.get("n_estimators"), tr.RUNG_SHARES[r["rung"]]
+            fits = r["trees"] is None if n is None else r["trees"] == max(1, round(n * share))
+            sound = r["cv_auc"] is not None and 0.6 <= r["cv_auc"] <= 1
+            rows.append((name, r["trial"], n, float(p.get("C", p.get("learning_rate"))), len(found), len(ended), len(halfway), fits, sound, ordered))
+    return spark.createDataFrame(
+        rows,
+        "name string, trial int, n_estimators int, scale double, n_trials int, n_ended int, n_halfway int, trees_fit boolean, sound boolean, best_first boolean",
+    )
 
 
 @query(
     "feature_importance",
-    "SELECT 'boosted' AS model, 'impurity_gain' AS kind, feature, true AS sound FROM (VALUES {}) AS v(feature)".format(
+    "SELECT 'boosted' AS model, 'gain_share' AS kind, feature, true AS sound, feature IN ('coolant_temp_c', 'oil_pressure_kpa', 'egt_c', 'vibration_mms') AS in_first_four FROM (VALUES {}) AS v(feature)".format(
         ", ".join(f"('{s}')" for s in SIGNALS)
     ),
 )
 def feature_importance(spark, sf_dir):
-    table_ = tr.importance_table(spark, _boosted(spark, sf_dir))
-    return table_.select("model", "kind", "feature", F.col("importance").between(0.0, 1.0).alias("sound"))
+    """The four signals that failures move come first."""
+    fitted = _boosted(spark, sf_dir)
+    first = [f for f, _ in fitted.importance()[:4]]
+    sums = sum(v for _, v in fitted.importance())
+    sound = F.col("importance").between(0.0, 1.0) & F.lit(abs(sums - 1) < 1e-9)
+    return tr.importance_table(spark, fitted).select("model", "kind", "feature", sound.alias("sound"), F.col("feature").isin(first).alias("in_first_four"))
 
 
 @query(
     "learning_curve",
-    "SELECT 'logreg' AS model, share, true AS sound FROM (VALUES (0.25e0), (0.5e0), (0.75e0), (1e0)) AS v(share)",
+    "SELECT 'logreg' AS model, share, true AS sound, true AS ranks FROM (VALUES (0.25e0), (0.5e0), (0.75e0), (1e0)) AS v(share)",
 )
 def learning_curve(spark, sf_dir):
+    """Soundness of every share, and that the whole train side ranks the test rows."""
     curve = tr.learning_curve(ct.logreg_model(), _frame(spark, sf_dir), SIGNALS)
     sound = F.coalesce(F.col("train_auc").between(0.0, 1.0) & F.col("test_auc").between(0.0, 1.0), F.lit(True))
-    return curve.select("model", "share", sound.alias("sound"))
+    ranks = (F.col("share") < 1.0) | (F.col("test_auc") >= 0.7)
+    return curve.select("model", "share", sound.alias("sound"), ranks.alias("ranks"))
 
 
-@query("write_diagnostics")
+_DIAGNOSTICS_SQL = on_readings(
+    f"""SELECT 'importance' AS part, {len(SIGNALS)} AS n_rows, true AS sound
+UNION ALL SELECT 'learning_curve', 4, true
+UNION ALL SELECT 'calibration', n_test, true FROM sizes UNION ALL SELECT 'threshold_sweep', 1, true""",
+    _SPLIT,
+    "sizes AS (SELECT CAST(count(*) AS INT) AS n_test FROM halves WHERE split = 'test')",
+)
+
+
+@query("write_diagnostics", _DIAGNOSTICS_SQL)
 def write_diagnostics(spark, sf_dir):
-    """All four tables, as (table, column, value) of every row."""
+    """What the four written tables hold: rows of importance and curve; the test rows in all calibration bins, and the sweep's last recall."""
     root, frame, contender = new_path(spark, "diagnostics"), _frame(spark, sf_dir), ct.boosted_model()
     tr.write_diagnostics(root, contender, _boosted(spark, sf_dir), frame, SIGNALS)
-    parts = []
-    for name in ("importance", "calibration", "threshold_sweep", "learning_curve"):
-        rows = spark.read.option("header", True).csv(f"{root}/{name}")
-        long = rows.select([F.col(c).cast("string") for c in rows.columns]).unpivot([], rows.columns, "column", "value")
-        parts.append(long.select(F.lit(name).alias("part"), "column", "value"))
+    read = lambda name: spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/{name}")
+    n = F.count(F.lit(1)).cast("int").alias("n_rows")
+    bins, sweep = read("calibration"), read("threshold_sweep")
+    share = F.col("importance").between(0.0, 1.0)
+    curve = F.coalesce(F.col("test_auc").between(0.0, 1.0), F.lit(True))
+    parts = [
+        read("importance").agg(F.lit("importance").alias("part"), n, F.min(share).alias("sound")),
+        read("learning_curve").agg(F.lit("learning_curve").alias("part"), n, F.min(curve).alias("sound")),
+        bins.agg(F.lit("calibration").alias("part"), F.sum("n").cast("int").alias("n_rows"), F.min(F.col("mean_predicted").between(0.0, 1.0)).alias("sound")),
+        sweep.agg(F.lit("threshold_sweep").alias("part"), F.max("recall").cast("int").alias("n_rows"), F.min(F.col("precision").between(0.0, 1.0)).alias("sound")),
+    ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -277,10 +342,10 @@ def _base(spark, sf_dir):
 _RUNG_ROWS = ", ".join(f"('{r}')" for r in (*cl.RUNGS, "stack"))
 
 
-@query("stacking_probe", f"SELECT rung, true AS sound FROM (VALUES {_RUNG_ROWS}) AS v(rung)")
+@query("stacking_probe", f"SELECT rung, true AS ranks FROM (VALUES {_RUNG_ROWS}) AS v(rung)")
 def stacking_probe(spark, sf_dir):
     probe = cl.stacking_probe(_base(spark, sf_dir), ct.boosted_model())
-    return probe.select("rung", F.col("roc_auc").between(0.0, 1.0).alias("sound"))
+    return probe.select("rung", F.col("roc_auc").between(0.8, 1.0).alias("ranks"))
 
 
 @query("upper_bound", "SELECT true AS near_one, true AS diagnostic")

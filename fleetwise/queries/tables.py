@@ -280,12 +280,13 @@ events_at AS (SELECT unit_id, max(timestamp_h) + max(step) AS event_time FROM re
   WHERE failure_within_h = 1 GROUP BY unit_id)"""
 
 
-@query(
-    "event_time_to_rows",
-    on_readings(
-        "SELECT unit_id, t_index, event_time FROM readings LEFT JOIN events_at USING (unit_id)", _EVENTS
-    ),
-)
+# The same beside every row, with windows: the readings are read once.
+_BESIDE = """beside AS (SELECT *, max(CASE WHEN failure_within_h = 1 THEN timestamp_h END) OVER (PARTITION BY unit_id)
+  + min(CASE WHEN d > 0 THEN d END) OVER () AS event_time FROM (SELECT *, timestamp_h - lag(timestamp_h)
+  OVER (PARTITION BY unit_id ORDER BY t_index) AS d FROM readings))"""
+
+
+@query("event_time_to_rows", on_readings("SELECT unit_id, t_index, event_time FROM beside", _BESIDE))
 def event_time_to_rows(spark, sf_dir):
     return wn.time_to_failure(readings(spark, sf_dir)).select(*DEFAULT.key, "event_time")
 
@@ -310,8 +311,8 @@ def unit_classes(spark, sf_dir):
 @query(
     "semi_join_units",
     on_readings(
-        "SELECT unit_id, t_index, failure_within_h FROM readings WHERE unit_id IN "
-        "(SELECT unit_id FROM readings WHERE failure_mode = 'bearing')"
+        "SELECT unit_id, t_index, failure_within_h FROM (SELECT *, "
+        "bool_or(failure_mode = 'bearing') OVER (PARTITION BY unit_id) AS hit FROM readings) WHERE hit"
     ),
 )
 def semi_join_units(spark, sf_dir):
@@ -383,7 +384,7 @@ def string_similarity(spark, sf_dir):
     return pairs.withColumn("score", rounded("score", 9))
 
 
-_FITTED = "fitted AS (SELECT " + each("avg($) AS $_m, stddev_samp($) AS $_s") + " FROM readings)"
+_FITTED = "fitted AS (SELECT *, " + each("avg($) OVER () AS $_m, stddev_samp($) OVER () AS $_s") + " FROM readings)"
 
 
 @query(
@@ -391,7 +392,7 @@ _FITTED = "fitted AS (SELECT " + each("avg($) AS $_m, stddev_samp($) AS $_s") +
     on_readings(
         "SELECT unit_id, t_index, "
         + each(rd("coalesce(($ - $_m) / coalesce(nullif($_s, 0), 1e0), 0e0)", 4) + " AS $")
-        + " FROM readings, fitted",
+        + " FROM fitted",
         _FITTED,
     ),
 )
@@ -430,8 +431,8 @@ def clip_and_sign(spark, sf_dir):
     on_readings(
         """SELECT unit_id, t_index, coalesce(egt_c, 1e9) AS egt_c,
   CASE WHEN failure_within_h = 1 THEN event_time - timestamp_h ELSE 1e9 END AS ttf
-FROM readings LEFT JOIN events_at USING (unit_id)""",
-        _EVENTS,
+FROM beside""",
+        _BESIDE,
     ),
 )
 def finite_or_fill(spark, sf_dir):
