@@ -266,6 +266,28 @@ def sequence_model(
     return Contender("sequence", {**params, "seed": seed}, build)
 
 
+def convolution_model(seed: int = SEED, *, c: float = 1.0, max_iter: int = 100) -> Contender:
+    """Standard scale and logistic regression with balanced classes over the arrays of ``convolved``."""
+    params = {"C": c, "max_iter": max_iter}
+
+    def build(p: Profile, values: list[str], label: str) -> Pipeline:
+        return Pipeline(
+            stages=[
+                StandardScaler(withMean=True, withStd=True, inputCol="_features", outputCol="_scaled"),
+                LogisticRegression(
+                    featuresCol="_scaled",
+                    labelCol=label,
+                    weightCol=WEIGHT,
+                    regParam=1.0 / (c * p.rows),
+                    standardization=False,
+                    maxIter=max_iter,
+                ),
+            ]
+        )
+
+    return Contender("sequence", {**params, "seed": seed}, build)
+
+
 BUILDERS = {"logreg": logreg_model, "boosted": boosted_model}
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwise.functions.scalars import finite_or, one_hot
-from fleetwise.learn.contenders import Contender, Fitted, boosted_model, stack_model, sequence_model
+from fleetwise.learn.contenders import Contender, Fitted, boosted_model, convolution_model, stack_model
+from fleetwise.learn.convolution import convolved
 from fleetwise.learn.training import oof_predictions, side
 from fleetwise.operators.aggregates import signal_moments
 from fleetwise.operators.grading import (
@@ -201,7 +202,10 @@ def temporal_ladder(
     sequence: Contender | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """Per-row, temporal and window model on the same test rows, with the window model's margin."""
+    """Per-row, temporal and window model on the same test rows, with the window model's margin.
+
+    The window model is a logistic over random convolutions; a ``sequence`` contender takes the bare window arrays.
+    """
     contender = contender or boosted_model(seed)
     base = build_base(df, spec, seed=seed)
     train, test = side(base.frame, "train"), side(base.frame, "test")
@@ -213,8 +217,10 @@ def temporal_ladder(
     windows, arrays = train_scaled_windows(
         rows, spec, side(rows, "train"), ["split", spec.target]
     )
-    net = sequence or sequence_model(seed, spec)
-    fitted = net.fit(side(windows, "train"), arrays, spec)
+    if sequence is None:
+        sequence, arrays = convolution_model(seed), ["shapes"]
+        windows = stored(convolved(windows, spec, seed=seed), "shapes")
+    fitted = sequence.fit(side(windows, "train"), arrays, spec)
     aucs["sequence"] = auc_of(fitted.score(side(windows, "test")), "probability", spec.target)
     margin = aucs["sequence"] - aucs[rung_name(RUNGS[1], contender)]
     winner = max(aucs, key=aucs.get)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 from compare import TABLES, connect, differences, kinds
+from test_contenders import FITS
 
 import __spark_entry__ as contract
 
@@ -24,16 +25,8 @@ def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-# Many or long fits; tests/test_models.py has small ones of each.
-LONG = {
-    "boosted_model",
-    "feature_importance",
-    "grouped_cv_auc",
-    "learning_curve",
-    "stacking_probe",
-    "temporal_ladder",
-    "train_compare",
-}
+# Fits; tests/test_contenders.py runs these.
+LONG = {*FITS, "param_search"}
 
 
 @pytest.mark.parametrize("name", sorted(set(contract.oracle_sql()) - LONG))
