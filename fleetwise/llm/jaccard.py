@@ -36,6 +36,8 @@ from fleetwise.shared import kept, scope, stored
 
 BINS = 64
 ID_BITS = 22
+KEY_BITS = 24  # of the table of set keys that occur twice, 2 MB
+GRAM_BITS = 27  # of the table of n-grams that several classes have, 16 MB
 
 
 @dataclass(frozen=True)
@@ -112,26 +114,38 @@ def _possible(pairs: DataFrame, classes: DataFrame, rule: Similarity) -> DataFra
     return both.mapInArrow(passing, "a bigint, b bigint").distinct()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, rule: Similarity) -> DataFrame:
-    """The whole sets of the documents in ``ids``, and of few others.
+def bit_table(cells: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2**bits bits in which the cells (column ``cell``) are set; 32 in a number.
 
-    A bit table of fixed size says which ids may be asked for, so that no text is shuffled; when
-    it fills up it lets more sets pass, which the join with the pairs drops.
+    It has a fixed size, so it may be sent to every task. Filled up it lets more through, which later steps drop.
     """
-    cell = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
     words = (
-        ids.select(cell.alias("cell"))
-        .groupBy(F.shiftright("cell", 5).alias("word"))
+        cells.groupBy(F.shiftright("cell", 5).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, CAST(cell & 31 AS INT))")).alias("bits"))
     ).toArrow()
-    table = np.zeros(1 << (ID_BITS - 5), np.uint32)
+    table = np.zeros(1 << (bits - 5), np.uint32)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def is_set(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (table[cells >> 5] >> (cells & 31).astype(np.uint32)) & 1 > 0
+
+
+def _cell(column: str, bits: int):
+    """The cell of an n-gram or a key: its lowest bits."""
+    return F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, rule: Similarity) -> DataFrame:
+    """The whole sets of the documents in ``ids``, and of few others: a bit table says which are asked for, so no text is shuffled."""
+    cell = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select(cell.alias("cell")), ID_BITS))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column("cell").to_numpy()
-            batch = batch.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0))
+            batch = batch.filter(pa.array(is_set(shared.value, at)))
             for part in slices(batch):
                 found = [s.tobytes() for s in shingle_sets(part.column("text"), rule.words)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.large_binary()).cast(pa.binary())], ["id", "grams"])
@@ -157,6 +171,65 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
     return both.mapInArrow(linked, "a bigint, b bigint")
 
 
+def _classes(signed: DataFrame) -> DataFrame:
+    """One row for each distinct set, with its smallest doc_id as ``rep``.
+
+    Only sets whose key shares a cell with another row's are gathered; a row alone in its cell is a class by itself, and its
+    prefix is not shuffled.
+    """
+    full = signed.where("n > 0 AND doc_id IS NOT NULL")
+    twice = full.select(_cell("k1", KEY_BITS).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = signed.sparkSession.sparkContext.broadcast(bit_table(twice.select("cell"), KEY_BITS))
+
+    def split(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = batch.column("k1").to_numpy() & ((1 << KEY_BITS) - 1)
+                yield batch.filter(pa.array(is_set(shared.value, cells) == wanted))
+
+        return full.mapInArrow(run, full.schema)
+
+    alone = split(False).select("k1", "k2", F.col("doc_id").alias("rep"), "n", "prefix", "bins")
+    several = (
+        split(True).groupBy("k1", "k2")
+        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins"))
+    )
+    return alone.unionByName(several)
+
+
+def _shared_posts(classes: DataFrame) -> DataFrame:
+    """``gram``, ``rep``, ``n``, ``pos``, ``low``, ``high`` of the prefix n-grams that several classes have.
+
+    Two shuffles: of n-grams with their smallest and largest class, and of those rows alone whose n-gram
+    is, by a bit table, one of several classes.
+    """
+    posts = classes.select("rep", F.explode("prefix").alias("gram"))
+    shared = stored(posts.groupBy("gram").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high"), "shared")
+    bits = classes.sparkSession.sparkContext.broadcast(bit_table(shared.select(_cell("gram", GRAM_BITS).alias("cell")), GRAM_BITS))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column("prefix")
+            begins = prefix.offsets.to_numpy()
+            grams = prefix.values.to_numpy()[begins[0] : begins[-1]]
+            counts = np.diff(begins)
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            pos = np.arange(len(grams)) - np.repeat(begins[:-1] - begins[0], counts)
+            met = np.flatnonzero(is_set(bits.value, grams & ((1 << GRAM_BITS) - 1)))
+            at = pa.array(row[met])
+            yield pa.RecordBatch.from_arrays([pa.array(grams[met]), batch.column("rep").take(at), batch.column("n").take(at), pa.array(pos[met].astype(np.int32))], ["gram", "rep", "n", "pos"])
+
+    some = classes.select("rep", "n", "prefix").mapInArrow(keep, "gram bigint, rep bigint, n bigint, pos int")
+    return some.join(shared, "gram")
+
+
+def _one_document(sized: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id``, ``rep`` for every class of the doc_ids that stand in rows with different sets."""
+    several = sized.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("u"), F.max(F.struct("k1", "k2")).alias("v")).where("u <> v")
+    mine = sized.where("n > 0").join(several.select("doc_id"), "doc_id").select("doc_id", "k1", "k2").distinct()
+    return mine.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
+
+
 def similarity_groups(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` for every row of ``docs``.
 
@@ -168,41 +241,39 @@ def similarity_groups(docs: DataFrame, rule: Similarity = Similarity()) -> DataF
     """
     docs = docs.select("doc_id", "text")
     with scope():
-        signed = stored(signatures(docs, rule, frequencies(docs, rule)), "signed")
-        classes = stored(
-            signed.where("n > 0 AND doc_id IS NOT NULL")
-            .groupBy("k1", "k2")
-            .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")),
-            "classes",
-        )
-        posts = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "gram"))
-        shared = posts.groupBy("gram").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-        group = stored(posts.join(shared, "gram"), "groups")
+        with scope():  # what was signed goes once classes are known
+            signed = stored(signatures(docs, rule, frequencies(docs, rule)), "signed")
+            classes = kept(_classes(signed), "classes")
+            sized = kept(signed.select("doc_id", "n", "k1", "k2"), "sized")
+        same = stored(_one_document(sized, classes), "same")
+        with scope():
+            group = kept(_shared_posts(classes), "groups")
         plain = group.groupBy("gram").agg(F.min_by("rep", "pos").alias("plain"))
         lead = F.explode(F.array_distinct(F.array("low", "high", "plain")))
         first = group.join(plain, "gram").select("rep", lead.alias("lead")).where("rep <> lead")
         first = first.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         first = stored(_possible(first, classes, rule), "first")
-        links = stored(_verified(first, docs, rule), "links")
-        near = components(links)
+        links = _verified(first, docs, rule)
+        least = same.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        tied = same.join(least, "doc_id").where("a < rep").select("a", F.col("rep").alias("b"))
+        near = components(stored(links.unionByName(tied), "links"))
         placed = group.select("gram", "rep", "n", "pos").join(near.toDF("rep", "place"), "rep", "left")
         placed = placed.withColumn("place", F.coalesce("place", "rep"))
         open_ = placed.groupBy("gram").agg(F.min("place").alias("u"), F.max("place").alias("v")).where("u < v")
         placed = stored(placed.join(open_.select("gram"), "gram"), "placed")
         a, b = placed.alias("a"), placed.alias("b")
-        least = f"ceil({rule.num} * (a.n + b.n) / {rule.num + rule.den}D)"
+        enough = f"ceil({rule.num} * (a.n + b.n) / {rule.num + rule.den}D)"
         rest = a.join(
             b,
             F.expr(
                 "a.gram = b.gram AND a.rep < b.rep AND a.place <> b.place"
                 f" AND {rule.den} * least(a.n, b.n) >= {rule.num} * greatest(a.n, b.n)"
-                f" AND 1 + least(a.n - a.pos, b.n - b.pos) - 1 >= {least} - 0.5"
+                f" AND 1 + least(a.n - a.pos, b.n - b.pos) - 1 >= {enough} - 0.5"
             ),
         ).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
         rest = stored(_possible(rest.distinct(), classes, rule).exceptAll(first), "rest")
         late = stored(_verified(rest, docs, rule), "late")
         whole = near if late.isEmpty() else components(near.toDF("a", "b").where("a <> b").union(late))
-        sized = signed.select("doc_id", "n", "k1", "k2")
         lone = "n = 0 OR doc_id IS NULL"
         joined = (
             sized.where(f"NOT ({lone})")
@@ -210,5 +281,8 @@ def similarity_groups(docs: DataFrame, rule: Similarity = Similarity()) -> DataF
             .join(whole.toDF("rep", "component"), "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
         )
-        alone = sized.where(lone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        # an empty text is where the other texts of its document are, if there are any
+        known = same.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(whole.toDF("rep", "component"), "rep", "left")
+        known = known.select("doc_id", F.coalesce("component", "rep").alias("known"))
+        alone = sized.where(lone).join(known, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("known", "doc_id").alias("component_id"))
         return kept(joined.unionByName(alone), "similar")

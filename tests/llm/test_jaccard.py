@@ -64,6 +64,26 @@ def test_groups_are_those_of_all_pairs(spark, rule):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, rule)
 
 
+def test_rows_of_one_doc_id_are_one_document(spark):
+    rng = random.Random(12)
+    t1, t2, t3, t4 = (sentence(rng, 40) for _ in range(4))
+    rows = [(1, t2), (5, t1), (5, t2), (9, t1), (9, t3), (20, t3), (20, ""), (30, t4), (30, None), (31, edited(rng, t4, 1)), (40, ""), (40, ""), (None, t1), (None, "")]
+    rule = jaccard.Similarity(3, 7, 10)
+    got = sorted((tuple(r) for r in jaccard.similarity_groups(documents(spark, rows), rule).collect()), key=str)
+    assert got == brute(rows, rule)
+    assert {r[2] for r in got if r[0] in (1, 5, 9, 20)} == {1}
+
+
+def test_full_bit_tables_lose_nothing(spark, monkeypatch):
+    """Tables of 32 bits are full at once: then everything passes, as without them."""
+    for name in ("KEY_BITS", "GRAM_BITS", "ID_BITS"):
+        monkeypatch.setattr(jaccard, name, 5)
+    rows = near_copies(8) + AWKWARD
+    rule = jaccard.Similarity(3, 9, 10)
+    got = jaccard.similarity_groups(documents(spark, rows), rule)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, rule)
+
+
 def test_empty_table(spark):
     assert jaccard.similarity_groups(documents(spark, [])).collect() == []
 
