@@ -17,7 +17,7 @@ import numpy as np
 from fleetwise.llm.kernel import mix
 
 ROOM = 1 << 20  # chunks that are kept
-SLOT_BITS = 20
+SLOT_BITS = 18
 SHORT = 15  # bytes of a chunk that fit its key, beside its length
 LONG = 512  # bytes from which a chunk is long
 LONG_ROOM = 1 << 22  # bytes of long chunks that are kept

@@ -31,7 +31,7 @@ from fleetwise.llm.kernel import slices, text_bytes
 from fleetwise.llm.lexicon import Lexicon
 
 MARK = "▁"
-ROOM = 1 << 19  # words that a worker keeps
+ROOM = 1 << 18  # words that a worker keeps
 PART = 1 << 18  # ids that are decoded at once, or one row's
 INFINITE = float("inf")
 
