@@ -6,7 +6,6 @@ All three see median- or mean-filled signals, so a missing signal cannot raise s
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,6 +15,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetwise.detectors.starts import distance_quantile, most_compact
 from fleetwise.functions.scalars import total
 from fleetwise.operators.aggregates import (
     MinMax,
@@ -32,9 +32,6 @@ TREE_ROWS = 256
 SUPPORT = 0.9
 BOTTLENECK = 4
 RIDGE = 1e-6
-STARTS = 60  # seeded random starts of the robust covariance
-START_ROWS = 2000  # rows, by hash, on which the starts are tried
-FINALISTS = 3  # starts that go on over all rows
 MAX_STEPS = 100  # concentration steps over all rows before the fit says that it has not settled
 STEP_TOLERANCE = 1e-4
 _DRAWS = 2**31
@@ -199,7 +196,7 @@ class IsolationForestModel(Model):
         return dataset.withColumn(self.out, isolation(*[F.col(s) for s in self.spec.signals]))
 
 
-# -- robust distance (Rousseeuw and Van Driessen 1999) ------------------------------------------
+# -- robust distance (Rousseeuw and Van Driessen 1999; starts in starts.py) ----------------------
 
 
 def chi2_quantile(p: float, dof: int) -> float:
@@ -249,52 +246,11 @@ def mean_and_covariance(df: DataFrame, names: Sequence[str]) -> tuple[int, np.nd
     return n, mean, cov
 
 
-def _log_det(cov: np.ndarray) -> float:
-    return float(np.linalg.slogdet(cov)[1])
-
-
-def robust_starts(rows: np.ndarray, support: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Means and covariances of the most compact ``support`` of a few rows, the best first.
-
-    Each start takes the moments of as many random rows as make a covariance, and concentrates twice;
-    the best go on until they settle. One start from all rows would stay where a tight cluster has
-    pulled it.
-    """
-    n, k = rows.shape
-    keep = max(k + 1, int(support * n))
-    ridge = RIDGE * np.eye(k)
-    draw = np.random.default_rng(seed)
-
-    def moments(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return part.mean(0), np.cov(part, rowvar=False, bias=True).reshape(k, k) + ridge
-
-    def concentrated(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        off = rows - mean
-        d = np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
-        return moments(rows[np.argpartition(d, keep - 1)[:keep]])
-
-    tried = []
-    for _ in range(STARTS):
-        shape = moments(rows[draw.choice(n, min(n, k + 1), replace=False)])
-        tried.append(concentrated(*concentrated(*shape)))
-    best = []
-    for shape in sorted(tried, key=lambda s: _log_det(s[1]))[: 3 * FINALISTS]:
-        for _ in range(MAX_STEPS):
-            after = concentrated(*shape)
-            settled = _log_det(shape[1]) - _log_det(after[1]) <= STEP_TOLERANCE
-            shape = after
-            if settled:
-                break
-        if all(abs(_log_det(shape[1]) - _log_det(other[1])) > STEP_TOLERANCE for other in best):
-            best.append(shape)
-    return sorted(best, key=lambda s: _log_det(s[1]))[:FINALISTS]
-
-
 class RobustDistance(Estimator):
-    """Robust covariance: the most compact ``support`` of all rows, by concentration steps.
+    """Robust covariance: the most compact ``support`` of all rows, by concentration from fixed starts.
 
-    Starts are tried on ``START_ROWS`` rows taken by a hash; the best few then concentrate over all
-    rows, one pass for the cut and one for the moments per step, until the determinant settles.
+    All starts see all rows (``starts.most_compact``). The shape is then scaled to the normal and
+    refitted once on the rows that are plausible under it. An empty table is an error.
     """
 
     def __init__(
@@ -303,25 +259,9 @@ class RobustDistance(Estimator):
         *,
         support: float = SUPPORT,
         max_steps: int = MAX_STEPS,
-        seed: int = SEED,
     ):
         super().__init__()
-        self.spec, self.support, self.max_steps, self.seed = spec, support, max_steps, seed
-
-    def _settle(self, z: DataFrame, names: Sequence[str], mean, cov) -> tuple[float, "Ellipsoid"]:
-        """Concentrate over all rows; the final log determinant and shape."""
-        ridge = RIDGE * np.eye(len(names))
-        shape, before = Ellipsoid(names, mean, np.linalg.inv(cov)), math.inf
-        for _ in range(self.max_steps):
-            d = z.withColumn("_d", shape.distance())
-            cut = d.agg(F.percentile_approx("_d", self.support, 10_000)).first()[0]
-            _, mean, cov = mean_and_covariance(d.filter(F.col("_d") <= cut), names)
-            shape, now = Ellipsoid(names, mean, np.linalg.inv(cov + ridge)), _log_det(cov + ridge)
-            if before - now <= STEP_TOLERANCE * max(1.0, abs(now)):
-                return now, shape
-            before = now
-        warnings.warn(f"the robust covariance has not settled in {self.max_steps} steps", stacklevel=2)
-        return before, shape
+        self.spec, self.support, self.max_steps = spec, support, max_steps
 
     def _fit(self, dataset: DataFrame) -> "RobustDistanceModel":
         spec = self.spec
@@ -330,18 +270,16 @@ class RobustDistance(Estimator):
         z = dataset.select(
             *[standardised(moments, s).alias(c) for s, c in zip(spec.signals, names)]
         ).persist()
-        ridge = RIDGE * np.eye(len(names))
+        k = len(names)
+        ridge = RIDGE * np.eye(k)
         try:
-            some = z.dropna().orderBy(F.xxhash64(F.lit(self.seed), *names), *names).limit(START_ROWS)
-            few = some.toPandas().to_numpy(float)
-            settled = [self._settle(z, names, *start) for start in robust_starts(few, self.support, self.seed)]
-            shape = min(settled, key=lambda s: s[0])[1]
+            found = most_compact(
+                z, k, support=self.support, ridge=RIDGE, tolerance=STEP_TOLERANCE, max_steps=self.max_steps
+            )
+            shape = Ellipsoid(names, found[0], np.linalg.inv(found[1] + ridge))
             # scale to the normal, then refit once on the rows that are plausible under it
-            k = len(names)
-            d = z.withColumn("_d", shape.distance())
-            middle = d.agg(F.percentile_approx("_d", 0.5, 10_000)).first()[0]
-            factor = max(middle / chi2_quantile(0.5, k), 1e-12)
-            kept = d.filter(F.col("_d") <= factor * chi2_quantile(0.975, k))
+            factor = max(distance_quantile(z, found, 0.5, RIDGE) / chi2_quantile(0.5, k), 1e-12)
+            kept = z.filter(shape.distance() <= factor * chi2_quantile(0.975, k))
             n, mean, cov = mean_and_covariance(kept, names)
             if n > k:
                 shape = Ellipsoid(names, mean, np.linalg.inv(cov + ridge))

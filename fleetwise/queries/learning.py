@@ -14,6 +14,7 @@ from fleetwise.detectors.joint import (
     ReconstructionDetector,
     RobustDistance,
 )
+from fleetwise.detectors.kernel import KernelReconstructionDetector
 from fleetwise.detectors.ladder import SUSPECT, DetectorLadder, SuspectFeature, score_ladder
 from fleetwise.functions.scalars import signals_from_map
 from fleetwise.learn import contenders as ct
@@ -103,6 +104,13 @@ def reconstruction_detector(spark, sf_dir):
     return _outliers(spark, sf_dir, model.transform(df), {model.name: 0.85})
 
 
+@query("kernel_reconstruction", _ALL_SOUND)
+def kernel_reconstruction(spark, sf_dir):
+    df = readings(spark, sf_dir).select(*KEY, *SIGNALS)
+    model = KernelReconstructionDetector().fit(df)
+    return _outliers(spark, sf_dir, model.transform(df), {model.name: 0.85})
+
+
 def _train_rows(spark, sf_dir):
     df = sp.grouped_split(readings(spark, sf_dir))
     return tr.side(df, "train").drop("split")
