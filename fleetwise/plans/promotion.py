@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetwise.operators.ordered import best_before, running_totals
-from fleetwise.shared import exists
+from fleetwise.shared import exists, stored
 
 REASONS = ("first", "same", "passed", "rejected", "forced", "no_metric")
 
@@ -59,10 +63,19 @@ def gate(requests: DataFrame, live: DataFrame, min_delta: float = 0.0) -> DataFr
     return _decided(requests.join(live, "name", "left"), min_delta)
 
 
-def promotion_history(requests: DataFrame) -> DataFrame:
-    """Replay all requests in ``seq`` order per name at zero tolerance.
+def promotion_history(requests: DataFrame, min_delta: float = 0.0) -> DataFrame:
+    """Replay all requests in ``seq`` order per name, each against what the ones before it left live.
+
+    ``seq`` is unique within a name, and a version has one metric. A candidate passes when it is at most
+    ``min_delta`` worse than the live version, so with a tolerance the live metric can sink step by step.
+    """
+    if not 0.0 <= min_delta < math.inf:
+        raise PromotionError(f"a tolerance of {min_delta} decides nothing")
+    return _tolerant_history(requests, min_delta) if min_delta else _strict_history(requests)
 
-    Without tolerance the live version is the best one so far, the newest on a tie, counted from
+
+def _strict_history(requests: DataFrame) -> DataFrame:
+    """Without tolerance the live version is the best one so far, the newest on a tie, counted from
     the last forced request. So it is a running maximum over (forced so far, metric, seq), which
     needs no row-by-row loop.
     """
@@ -87,6 +100,85 @@ def promotion_history(requests: DataFrame) -> DataFrame:
     )
 
 
+def _replayed(pdf: pd.DataFrame, live: tuple[int, float] | None, min_delta: float) -> list[tuple[int, float] | None]:
+    """What is live before each request of a sorted block, and after the last one."""
+    out = []
+    for version, auc, forced in zip(pdf["version"].tolist(), pdf["roc_auc"].tolist(), pdf["forced"].tolist()):
+        out.append(live)
+        if auc == auc and (forced or live is None or auc >= live[1] - min_delta):
+            live = (version, auc)
+    return [*out, live]
+
+
+_BLOCK = "_part int, top double, version bigint, roc_auc double"
+_LIVE = "live_version bigint, live_auc double"
+
+
+def _tolerant_history(requests: DataFrame, min_delta: float) -> DataFrame:
+    """A block of consecutive requests as a function of the metric that is live before it.
+
+    Where the block's best request passes, it makes itself live whatever came before, and from there on
+    everything in the block is settled. So a block either leaves a live version alone (its best request
+    fails: none passes) or ends in one state, the state in which it ends when nothing is live before
+    it. A forced request counts as infinitely good. Two numbers a block are therefore enough to carry the
+    live version from block to block; the blocks are then replayed side by side. A NaN metric is none.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    usable = F.when(~F.isnan("roc_auc"), F.col("roc_auc").cast("double"))
+    laid = stored(
+        requests.withColumns({"roc_auc": usable, "forced": F.coalesce("forced", F.lit(False))})
+        .repartitionByRange("name", "seq")
+        .withColumn("_part", F.spark_partition_id()),
+        "requests",
+    )
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        usable = pdf["roc_auc"].where(~(pdf["forced"] & pdf["roc_auc"].notna()), math.inf)
+        end = _replayed(pdf, None, min_delta)[-1] or (None, None)
+        row = {"name": pdf["name"].iloc[:1], "_part": pdf["_part"].iloc[0], "top": usable.max()}
+        return pd.DataFrame(row).assign(version=pd.array([end[0]], "Int64"), roc_auc=end[1])
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The live version before each block of one name; there is a row per partition at most."""
+        live, before = None, []
+        pdf = pdf.sort_values("_part")
+        # blocks without a usable metric change nothing
+        for top, version, auc in zip(pdf["top"], pdf["version"].astype("Int64"), pdf["roc_auc"]):
+            before.append(live)
+            if top == top and (live is None or top >= live[1] - min_delta):
+                live = (int(version), auc)
+        return pdf[["name", "_part"]].assign(**_columns(before))
+
+    def decided(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        first = pdf.iloc[0]
+        live = None if pd.isna(first["start_auc"]) else (int(first["start_version"]), first["start_auc"])
+        return pdf[["name", "seq", "version", "roc_auc", "forced"]].assign(
+            **_columns(_replayed(pdf, live, min_delta)[:-1])
+        )
+
+    name = f"name {kinds['name']}"
+    needed = laid.select("name", "seq", F.col("version").cast("bigint").alias("version"), "roc_auc", "forced", "_part")
+    blocks = needed.groupBy("name", "_part").applyInPandas(summed, f"{name}, {_BLOCK}")
+    starts = blocks.groupBy("name").applyInPandas(carried, f"{name}, _part int, {_LIVE}")
+    starts = starts.toDF("_name", "_of", "start_version", "start_auc")
+    same = F.col("name").eqNullSafe(F.col("_name")) & (F.col("_part") == F.col("_of"))
+    # versions go through pandas as whole numbers: those of a start are 0 where nothing is live
+    begun = needed.join(starts.fillna(0, ["start_version"]), same).drop("_name", "_of")
+    out = begun.groupBy("name", "_part").applyInPandas(
+        decided, f"{name}, seq {kinds['seq']}, version bigint, roc_auc double, forced boolean, {_LIVE}"
+    )
+    return _decided(out, min_delta)
+
+
+def _columns(live: list[tuple[int, float] | None]) -> dict:
+    return {
+        "live_version": pd.array([None if v is None else v[0] for v in live], "Int64"),
+        "live_auc": np.array([np.nan if v is None else v[1] for v in live]),
+    }
+
+
 def previous_version(decisions: DataFrame) -> DataFrame:
     """Per name: the live version and the one it replaced, to roll back to."""
     moved = decisions.filter(

@@ -291,6 +291,32 @@ def promotion_decision(spark, sf_dir):
     return out.fillna(-1, ["incumbent_version"])
 
 
+_TOLERANCE = 0.015
+
+
+# DuckDB goes through each name's requests one by one.
+@query(
+    "tolerant_promotion",
+    f"""WITH RECURSIVE {_REQUESTS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS place FROM requests),
+walk AS (SELECT name, CAST(0 AS BIGINT) AS place, CAST(NULL AS BIGINT) AS live_version, CAST(NULL AS DOUBLE) AS live_auc,
+    CAST(NULL AS BIGINT) AS before_version, CAST(NULL AS DOUBLE) AS before_auc FROM (SELECT DISTINCT name FROM requests)
+  UNION ALL SELECT w.name, n.place,
+    CASE WHEN n.roc_auc IS NOT NULL AND (n.forced OR w.live_version IS NULL OR n.roc_auc >= w.live_auc - {_TOLERANCE}e0) THEN n.version ELSE w.live_version END,
+    CASE WHEN n.roc_auc IS NOT NULL AND (n.forced OR w.live_version IS NULL OR n.roc_auc >= w.live_auc - {_TOLERANCE}e0) THEN n.roc_auc ELSE w.live_auc END,
+    w.live_version, w.live_auc FROM walk w JOIN numbered n ON n.name = w.name AND n.place = w.place + 1),
+decided AS (SELECT n.name, n.seq, n.version, n.roc_auc, n.forced, w.before_version, w.before_auc,
+  CASE WHEN n.roc_auc IS NULL THEN 'no_metric' WHEN n.forced THEN 'forced' WHEN w.before_version IS NULL THEN 'first'
+    WHEN n.roc_auc >= w.before_auc - {_TOLERANCE}e0 THEN 'passed' ELSE 'rejected' END AS reason
+  FROM numbered n JOIN walk w ON w.name = n.name AND w.place = n.place)
+SELECT name, seq, version, roc_auc, forced, coalesce(before_version, -1) AS incumbent_version, before_auc AS incumbent_auc,
+  reason IN ('forced', 'first', 'passed') AS promoted, reason FROM decided""",
+)
+def tolerant_promotion(spark, sf_dir):
+    """A candidate may be slightly worse than what is live."""
+    out = pm.promotion_history(promotion_requests(spark, sf_dir), _TOLERANCE)
+    return out.fillna(-1, ["incumbent_version"])
+
+
 @query(
     "previous_version",
     f"""WITH {_REQUESTS}, {_HISTORY} SELECT name, max_by(version, seq) AS live_version,

@@ -229,7 +229,7 @@ def test_gate_first_and_same(spark):
     assert got == {"m": "first", "n": "same"}
 
 
-def replay(rows):
+def replay(rows, min_delta=0.0):
     """The gate one request at a time, as the checking recurrence."""
     live, out = {}, []
     for name, seq, version, auc, forced in sorted(rows, key=lambda r: (r[0], r[1])):
@@ -243,7 +243,7 @@ def replay(rows):
         elif before[0] == version:
             ok, why = True, "same"
         else:
-            ok = auc >= before[1]
+            ok = auc >= before[1] - min_delta
             why = "passed" if ok else "rejected"
         if ok:
             live[name] = (version, auc)
@@ -265,6 +265,56 @@ def test_history_matches_one_at_a_time(spark):
     assert got == sorted(replay(rows), key=lambda r: r[:2])
 
 
+@pytest.mark.parametrize("min_delta", [0.0, 0.01, 0.045, 5.0])
+def test_tolerant_history_matches_one_at_a_time(spark, min_delta):
+    """Falling, rising and mixed runs of one name over many blocks."""
+    rng = np.random.default_rng(9)
+    falling = [0.9 - i / 500 for i in range(300)]
+    metrics = {
+        "hot": list(rng.integers(600, 900, 600) / 1000),
+        "falls": falling,
+        "rises": falling[::-1],
+        "none": [None] * 40,
+        None: list(rng.random(50)),
+    }
+    rows = []
+    for name, values in metrics.items():
+        for i, auc in enumerate(values):
+            auc = None if auc is None or rng.random() < 0.05 else float(auc)
+            rows.append((name, i, i, auc, bool(rng.random() < 0.01)))
+    df = spark.createDataFrame(rows, REQUESTS).repartition(3)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # small blocks would else become one
+    try:
+        parts = df.repartitionByRange("name", "seq").groupBy("name").agg(F.countDistinct(F.spark_partition_id()))
+        assert dict(parts.collect())["hot"] > 2
+        got = pm.promotion_history(df, min_delta).collect()
+    finally:
+        spark.conf.unset(setting)
+    key = lambda r: (r[0] or "", r[1])
+    got = sorted(((r["name"], r["seq"], r["incumbent_version"], r["promoted"], r["reason"]) for r in got), key=key)
+    want = []
+    for name in metrics:  # a NULL name is a name
+        part = [("", *r[1:]) for r in rows if r[0] == name]
+        want += [(name, *r[1:]) for r in replay(part, min_delta)]
+    assert got == sorted(want, key=key)
+
+
+def test_tolerant_history_of_nothing(spark):
+    empty = spark.createDataFrame([], REQUESTS)
+    assert pm.promotion_history(empty, 0.1).count() == 0
+    for wrong in (-0.1, float("nan"), float("inf")):
+        with pytest.raises(pm.PromotionError):
+            pm.promotion_history(empty, wrong)
+
+
+def test_a_metric_that_is_no_number_is_none(spark):
+    rows = [("m", 1, 1, 0.7, False), ("m", 2, 2, float("nan"), True), ("m", 3, 3, 0.65, False)]
+    got = pm.promotion_history(spark.createDataFrame(rows, REQUESTS), 0.1).orderBy("seq").collect()
+    assert [r["reason"] for r in got] == ["first", "no_metric", "passed"]
+    assert got[2]["incumbent_version"] == 1
+
+
 def test_roll_back(spark):
     rows = [("m", 1, 1, 0.7, False), ("m", 2, 2, 0.8, False), ("m", 3, 3, 0.6, False), ("n", 1, 1, 0.5, False)]
     decisions = pm.promotion_history(spark.createDataFrame(rows, REQUESTS))
