@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetwise.operators import aggregates as agg
 from fleetwise.operators import drift as dr
 from fleetwise.operators import grading as gr
+from fleetwise.operators import intervals as iv
 from fleetwise.operators import projection as pj
 from fleetwise.operators import rollup as ru
 from fleetwise.operators import splits as sp
@@ -514,16 +515,19 @@ def _sliced(slices, source):
 _TIMED = "timed AS (SELECT s.*, event_time - timestamp_h AS ttf FROM scored s LEFT JOIN events_at USING (unit_id))"
 
 
+_HORIZON_SQL = _sliced(
+    {
+        k: f"ttf >= {lo!r}e0" + (f" AND ttf < {hi!r}e0" if hi != float("inf") else "")
+        for k, (lo, hi) in _BANDS.items()
+    },
+    "timed",
+)
+
+
 @query(
     "auc_by_horizon",
     on_readings(
-        _sliced(
-            {
-                k: f"ttf >= {lo!r}e0" + (f" AND ttf < {hi!r}e0" if hi != float("inf") else "")
-                for k, (lo, hi) in _BANDS.items()
-            },
-            "timed",
-        ),
+        _HORIZON_SQL,
         _EVENTS,
         _TIMED,
     ),
@@ -533,6 +537,23 @@ def auc_by_horizon(spark, sf_dir):
     return rounded_columns(gr.auc_by_horizon(df, "score"), ["roc_auc"])
 
 
+# The draws are checked in tests/test_intervals.py; the SQL states the AUC and that the interval holds it.
+@query(
+    "auc_intervals",
+    on_readings(
+        f"""SELECT slice, n_positive, roc_auc, CAST(200 AS BIGINT) AS n_replicates, true AS holds FROM ({_HORIZON_SQL})""",
+        _EVENTS,
+        _TIMED,
+    ),
+)
+def auc_intervals(spark, sf_dir):
+    df = wn.time_to_failure(scored(spark, sf_dir))
+    out = iv.auc_intervals_by_horizon(df, "score")
+    inside = (F.col("low") <= F.col("roc_auc")) & (F.col("roc_auc") <= F.col("high")) & (F.col("low") < F.col("high"))
+    out = out.select("slice", "n_positive", "roc_auc", "n_replicates", inside.alias("holds"))
+    return rounded_columns(out, ["roc_auc"])
+
+
 @query(
     "auc_by_mode",
     on_readings(_sliced({m: f"failure_mode = '{m}'" for m in sorted(FAILURE_MODES)}, "scored")),
