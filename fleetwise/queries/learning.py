@@ -42,6 +42,7 @@ from fleetwise.sources.predictions import LOG_SCHEMA
 from fleetwise.sources.stand_in import once, once_at, readings, readings_at, table
 from fleetwise.spec import DEFAULT, FAILURE_MODES, SEED, SIGNALS
 from fleetwise.streaming import jobs as st
+from fleetwise.streaming.reorder import reordered_risk_stream as reordered
 
 KEY = DEFAULT.key
 
@@ -543,3 +544,23 @@ def sustained_risk_stream(spark, sf_dir):
     ).awaitTermination()
     risks = st.unit_risk(spark.read.parquet(out))
     return rounded_columns(risks, ["risk", "high_risk_share"])
+
+
+_LATENESS_H = 24
+_BEFORE = f"(SELECT * FROM sustained WHERE timestamp_h <= (SELECT max(timestamp_h) FROM readings) - {_LATENESS_H}e0)"
+
+
+@query("reordered_risk_stream", on_readings(ROLLUP_SQL + " FROM rolled", _SHORT, _ROLLUP.replace("FROM sustained", f"FROM {_BEFORE}")))
+def reordered_risk_stream(spark, sf_dir):
+    """Every reading is up to 19 hours late, in three deliveries; what the watermark has passed is rolled up."""
+    rows = scored(spark, sf_dir).select(*KEY, "timestamp_h", "score")
+    arrival = F.col("timestamp_h") + F.pmod(F.xxhash64(*KEY), F.lit(20))
+    third = rows.agg(F.max("timestamp_h")).first()[0] / 3
+    source, out, state = (new_path(spark, n) for n in ("stream_late", "stream_risk", "stream_state"))
+    for i in range(3):
+        due = (arrival >= i * third) if i else F.lit(True)
+        part = rows.where(due & (arrival < (i + 1) * third if i < 2 else F.lit(True)))
+        part.orderBy(F.xxhash64(*KEY)).write.mode("append").parquet(source)
+        stream = st.reading_stream(spark, source, rows.schema)
+        reordered(stream, "score", out, state, lateness_h=_LATENESS_H).awaitTermination()
+    return rounded_columns(st.unit_risk(spark.read.parquet(out)), ["risk", "high_risk_share"])
