@@ -62,9 +62,12 @@ def _auc(pos: str, neg: str, cum_neg: str, all_neg: str | None = None) -> Column
 
 def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows, positives and exact AUC, per ``by`` group."""
-    counts = score_counts(df, score, label, by).select(
-        *by, score, "n", "pos", (F.col("n") - F.col("pos")).alias("neg")
-    )
+    return auc_from(score_counts(df, score, label, by), score, by)
+
+
+def auc_from(counts: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """``roc_auc`` of counts (``by``, score, n, pos), one row per group and score."""
+    counts = counts.select(*by, score, "n", "pos", (F.col("n") - F.col("pos")).alias("neg"))
     run = running_totals(counts, by, score, ["neg"])
     return run.groupBy(*by).agg(
         F.sum("n").alias("n_rows"),
@@ -81,15 +84,17 @@ def auc_of(df: DataFrame, score: str, label: str, *, strict: bool = False) -> fl
     return value
 
 
-def _descending(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFrame:
-    return running_totals(
-        score_counts(df, score, label, by), by, score, ["n", "pos"], descending=True
-    )
+def _descending(counts: DataFrame, score: str, by: Sequence[str]) -> DataFrame:
+    return running_totals(counts, by, score, ["n", "pos"], descending=True)
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Precision at every distinct threshold, weighted by the recall it adds."""
-    run = _descending(df, score, label, by)
+    return precision_from(score_counts(df, score, label, by), score, by)
+
+
+def precision_from(counts: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    run = _descending(counts, score, by)
     gain = F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n").cast("double"))
     return run.groupBy(*by).agg(
         F.when(F.sum("pos") > 0, gain / F.sum("pos")).alias("average_precision")
@@ -98,7 +103,11 @@ def average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] =
 
 def threshold_sweep(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at every distinct score taken as the threshold."""
-    run = _descending(df, score, label, by)
+    return sweep_from(score_counts(df, score, label, by), score, by)
+
+
+def sweep_from(counts: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    run = _descending(counts, score, by)
     return run.select(
         *by,
         F.col(score).alias("threshold"),
@@ -288,12 +297,16 @@ def auc_by_mode(
     return _sliced_auc(df, score, spec.target, {m: F.col(spec.mode) == m for m in modes})
 
 
+def bin_of(score: str, bins: int = BINS) -> Column:
+    """The equal bin of a score; an upper edge belongs to the next bin."""
+    edges = [i * (1.0 / bins) for i in range(1, bins)]
+    return total([(F.col(score) >= F.lit(e)).cast("int") for e in edges])
+
+
 def calibration(df: DataFrame, score: str, label: str, bins: int = BINS) -> DataFrame:
     """Mean prediction, observed rate and count per equal bin; empty bins are absent."""
-    edges = [i * (1.0 / bins) for i in range(1, bins)]
-    place = total([(F.col(score) >= F.lit(e)).cast("int") for e in edges])
     return (
-        df.groupBy(place.alias("bin"))
+        df.groupBy(bin_of(score, bins).alias("bin"))
         .agg(
             F.avg(score).alias("mean_predicted"),
             F.avg(F.col(label).cast("double")).alias("observed_rate"),

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from fleetwise.functions.scalars import signals_from_map
 from fleetwise.plans import promotion as pm
 from fleetwise.queries.analysis import _ROLLUP, _SHORT, ROLLUP_SQL, rolled_up
-from fleetwise.queries.base import COLUMNS, on_readings, query, scored
+from fleetwise.queries.analysis import _CDF, _auc_sql, _drift_frames
+from fleetwise.queries.base import COLUMNS, on_readings, query, rd, rounded_columns, scored
 from fleetwise.shared import new_path
 from fleetwise.sources import predictions as pr
 from fleetwise.sources import runs as rs
+from fleetwise.sources.grades import GradeStore
+from fleetwise.sources.sketches import SketchStore
 from fleetwise.sources.stand_in import once, readings, table
 from fleetwise.spec import SIGNALS
 
@@ -339,3 +342,73 @@ def latest_version(spark, sf_dir):
 )
 def best_run(spark, sf_dir):
     return pm.best_run(promotion_requests(spark, sf_dir), order="seq")
+
+
+# -- states that merge ---------------------------------------------------------------------------
+
+_PARITY = """parity AS (SELECT *, CAST(unit_id % 2 AS INT) AS half FROM scored),
+halves AS (SELECT half, score, n, pos, sum(n) OVER d AS cum_n, sum(pos) OVER d AS cum_pos, sum(n) OVER (PARTITION BY half) AS all_n,
+  sum(pos) OVER (PARTITION BY half) AS all_pos FROM (SELECT half, score, count(*) AS n, sum(failure_within_h) AS pos FROM parity GROUP BY half, score)
+  WINDOW d AS (PARTITION BY half ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+def _grades(spark, sf_dir):
+    """Ten batches, one of them twice, folded into a base after the sixth."""
+    rows = scored(spark, sf_dir).withColumn("half", (F.col("unit_id") % 2).cast("int"))
+    store = GradeStore(spark, new_path(spark, "grades"), ["half"])
+    for i in (0, 1, 2, 3, 4, 3, 5, 6, 7, 8, 9):
+        store.add(str(i), rows.where(F.col("unit_id") % 10 == i), "score", "failure_within_h")
+        if i == 5:
+            store.compact()
+    return store
+
+
+@query(
+    "standing_grades",
+    on_readings(
+        f"""SELECT half, n_rows, n_positive, {rd('roc_auc')} AS roc_auc, {rd('average_precision')} AS average_precision, alarm_cut
+FROM ({_auc_sql('parity', 'failure_within_h', 'half')}) JOIN (SELECT half,
+  sum(pos * cum_pos / CAST(cum_n AS DOUBLE)) / max(all_pos) AS average_precision,
+  min(score) FILTER (cum_n <= greatest(1, round_even(all_n * 0.02e0, 0))) AS alarm_cut FROM halves GROUP BY half) USING (half)""",
+        _PARITY,
+    ),
+)
+def standing_grades(spark, sf_dir):
+    store = _grades(spark, sf_dir)
+    out = store.roc_auc().join(store.average_precision(), "half").join(store.alarm_cuts(), "half")
+    return rounded_columns(out, ["roc_auc", "average_precision"])
+
+
+@query(
+    "standing_calibration",
+    on_readings(
+        f"""SELECT half, bin, n, {rd('s / n')} AS mean_predicted, {rd('p / CAST(n AS DOUBLE)')} AS observed_rate FROM (SELECT half,
+  CAST({' + '.join(f"CAST(score >= {i * (1.0 / 10)!r}e0 AS INT)" for i in range(1, 10))} AS INT) AS bin, count(*) AS n, sum(score) AS s,
+  sum(failure_within_h) AS p FROM parity GROUP BY 1, 2)""",
+        _PARITY,
+    ),
+)
+def standing_calibration(spark, sf_dir):
+    return rounded_columns(_grades(spark, sf_dir).calibration(), ["mean_predicted", "observed_rate"])
+
+
+_LATER = 1_000_000  # slices of the shifted readings lie beyond all others
+
+
+@query(
+    "sketch_drift",
+    on_readings(
+        f"SELECT signal, n_ref, n_cur, {rd('ref_std')} AS ref_std, wasserstein_norm >= 0.1e0 AS drifted FROM lam",
+        _CDF,
+    ),
+)
+def sketch_drift(spark, sf_dir):
+    """Weekly sketches of all readings, in two batches, against those of the shifted ones before a failure."""
+    before, shifted = _drift_frames(spark, sf_dir)
+    week = F.floor(F.col("timestamp_h") / 168)
+    store = SketchStore(spark, new_path(spark, "sketches"), week)
+    store.add("even", before.where("unit_id % 2 = 0"))
+    store.add("odd", before.where("unit_id % 2 = 1"))
+    store.add("shifted", shifted.withColumn("timestamp_h", F.col("timestamp_h") + 168.0 * _LATER))
+    out = store.drift((0, _LATER), (_LATER, 2 * _LATER))
+    return rounded_columns(out.select("signal", "n_ref", "n_cur", "ref_std", "drifted"), ["ref_std"])
