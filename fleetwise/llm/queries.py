@@ -175,10 +175,14 @@ def op6(spark, sf_dir):
 
 @query("op7_sharding")
 def op7(spark, sf_dir):
-    dealt = shards.shard(table(spark, sf_dir, "documents"), 24)
-    return dealt.select(
+    """24 shards by version 1 of the map; ``next_shard`` is by version 2, edited for one shard more."""
+    path = new_path(spark, "slot_map")
+    dealt = shards.shard(table(spark, sf_dir, "documents"), 24, path=path)
+    size, _ = shards.slot_loads(dealt)
+    grown = shards.next_map(spark, path, size, 25).withColumnRenamed("shard", "next_shard")
+    return dealt.join(F.broadcast(grown), "virtual_slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard",
     )
 
 
