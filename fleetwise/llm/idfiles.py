@@ -42,7 +42,8 @@ from fleetwise.shared import qualified
 MAGIC = b"IDS8"
 FOOT = struct.Struct("<QQQ4s")
 HEAD = struct.Struct("<QQQQ")  # documents, ids, words, escapes
-ROOM = 1 << 20  # chunks that a worker keeps
+ROOM = 1 << 19  # chunks that a worker keeps
+ASKED = 1 << 13  # chunks that the library encodes at a time
 SEGMENT = 1 << 19  # ids after which a segment ends; a document is never parted
 
 FILES = "shard int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -101,6 +102,14 @@ class _Worker(NamedTuple):
 _workers: dict[str, _Worker] = {}
 
 
+def ids_in_parts(tokenizer, words: list[str]) -> list[list[int]]:
+    """The ids of all words; the library's own records are larger than the ids and last for one part only."""
+    out = []
+    for a in range(0, len(words), ASKED):
+        out += [e.ids for e in tokenizer.encode_batch_fast(words[a : a + ASKED], add_special_tokens=False)]
+    return out
+
+
 def _worker(encoder: Encoder) -> _Worker:
     if encoder.text not in _workers:
         from tokenizers import Tokenizer
@@ -108,8 +117,7 @@ def _worker(encoder: Encoder) -> _Worker:
         tokenizer = Tokenizer.from_str(encoder.text)
 
         def encode(chunks: list[bytes]) -> list[list[int]]:
-            words = [c.decode("utf-8", "replace") for c in chunks]
-            return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return ids_in_parts(tokenizer, [c.decode("utf-8", "replace") for c in chunks])
 
         added = tuple(t.content.encode() for t in tokenizer.get_added_tokens_decoder().values())
         _workers.clear()
