@@ -17,6 +17,7 @@ best sum of scores is what the method names; a merging encoder may cut some word
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -31,7 +32,8 @@ from fleetwise.llm.kernel import slices, text_bytes
 from fleetwise.llm.lexicon import Lexicon
 
 MARK = "▁"
-ROOM = 1 << 18  # words that a worker keeps
+WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")  # the words of a marked text
+ROOM = 1 << 17  # words that a worker keeps
 PART = 1 << 18  # ids that are decoded at once, or one row's
 INFINITE = float("inf")
 
