@@ -82,3 +82,15 @@ def test_exact_quantiles_skip_nulls_and_empty_columns(spark):
     assert got["a"] == pytest.approx(df["a"].median(), abs=1e-15)
     assert got["b"] == df["b"].median()
     assert got["c"] is None
+
+
+def test_ranks_need_no_second_shuffle_and_keep_what_is_asked_for(spark):
+    rows = [(None if i % 5 == 0 else i % 3, i, -i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, k int, rest int")
+    got = rank_within(df.repartition(7), ["g"], ["k"], "r", keep=["g", "rest"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert got.columns == ["g", "rest", "r"]
+    want = pd.DataFrame(rows, columns=["g", "k", "rest"]).sort_values("k")
+    want["r"] = want.groupby("g", dropna=False).cumcount()
+    assert [(r.rest, r.r) for r in sorted(got.collect(), key=lambda r: r.rest)] == [(a, b) for a, b in sorted(zip(want.rest, want.r))]
