@@ -1,5 +1,6 @@
 """Blocked windows against pandas recurrences; causality; order of the input."""
 
+from pyspark.sql import Window
 import numpy as np
 import pandas as pd
 import pytest
@@ -185,3 +186,20 @@ def test_time_to_failure(spark):
     got = got.sort_values(["unit_id", "t_index"])["time_to_failure_h"].tolist()
     inf = float("inf")
     assert got == [inf, 4.0, 2.0, inf, inf, inf]
+
+
+def test_frames_are_made_by_block_and_gaps_are_found(spark):
+    rows = [(u, t, None if t % 7 == 3 else (float("nan") if t == 20 else (u or 0) * 10.0 + t % 5)) for u in (None, 1, 2) for t in range(60)]
+    spec = SPEC.but(unit="u", time="t", clock="t", position="t", signals=("a",), window_rows=6, block_rows=16)
+    df = spark.createDataFrame(rows, "u int, t int, a double")
+    for made in (wn.temporal_features(df, spec), wn.window_tensor(df, {"a": 1.0}, {"a": 2.0}, spec)):
+        assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    w = Window.partitionBy("u").orderBy("t").rowsBetween(-5, 0)
+    want = df.select("u", "t", F.when(F.count("a").over(w) >= 2, F.avg("a").over(w)).alias("m"), F.stddev_samp("a").over(w).alias("s"))
+    got = wn.temporal_features(df, spec).select("u", "t", "a__mean", "a__std")
+    order = lambda f: sorted(map(tuple, f.collect()), key=lambda r: (r[0] or 0, r[1]))
+    for g, e in zip(order(got), order(want), strict=True):
+        assert g[:2] == e[:2]
+        assert g[2:] == pytest.approx(e[2:], nan_ok=True) if None not in e else g == e
+    with pytest.raises(Exception, match="does not count"):
+        wn.window_tensor(df.filter("t <> 30"), {"a": 1.0}, {"a": 2.0}, spec).collect()
