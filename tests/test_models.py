@@ -303,3 +303,29 @@ def test_a_fitted_model_scores_a_stream(spark, readings, few, tmp_path):
     last = few.agg(F.max("timestamp_h")).first()[0]
     assert len(got) == int((last - 1) // 24)
     assert got["n_rows"].sum() == few.filter(f"timestamp_h < {24 * len(got)}").count()
+
+
+def test_full_trees_give_the_path_lengths_of_the_nodes(spark, readings):
+    forest = jt.IsolationForest(trees=5).fit(readings.select("unit_id", "t_index", *jt.DEFAULT.signals).fillna(0.0)).forest
+    x = np.random.default_rng(4).normal(300, 300, size=(5000, 9))
+    x[::9, 2], x[::7, 5] = np.nan, np.inf
+    total = np.zeros(len(x))
+    for feature, cut, left, length in zip(forest.feature, forest.cut, forest.left, forest.length):
+        for i, row in enumerate(x):
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + int(row[feature[node]] > cut[node])
+            total[i] += length[node]
+    feature, cut, last = forest.full()
+    assert feature.shape == cut.shape == (5, 255) and last.shape == (5, 256)
+    want = np.exp2(-total / (5 * jt.path_correction(forest.rows)))
+    assert (forest.scores(x) == want).all()
+
+
+def test_a_query_ranks_with_the_label_beside_the_score(spark):
+    from fleetwise.queries.learning import _ranking
+
+    rows = [(1, t, t / 10.0, int(t > 5)) for t in range(10)] + [(None, 1, 0.1, 0)]
+    df = spark.createDataFrame(rows, "unit_id long, t_index int, s double, y int")
+    assert [tuple(r)[2:] for r in _ranking(df, "y", {"s": 0.9}).collect()] == [(True, True)] * 11
+    assert {r.ranks for r in _ranking(df, "y", {"s": 1.1}).collect()} == {False}
