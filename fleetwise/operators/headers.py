@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetwise.functions.scalars import plain_name
+from fleetwise.shared import stored
 from fleetwise.spec import DEFAULT, TelemetrySpec
 
 # Other names of each signal, in plain form, and the match scores.
@@ -74,7 +75,8 @@ def pair_scores(
     default, or "matching", which calls Python once per pair. Pairs under
     ``at_least`` may be left out or given as 0, which spares most of the work.
     """
-    names = headers.select(F.col(header).alias("header")).distinct()
+    # written, so that the files are read once and plain names are made of distinct headers only
+    names = stored(headers.select(F.col(header).alias("header")).distinct(), "headers")
     plain = names.withColumn("_name", plain_name(F.col("header")))
     signals = F.array(
         *[
@@ -128,10 +130,12 @@ def match_headers(
     one of its own best ``len(signals)`` headers, so only those reach the assignment.
     """
     n = len(spec.signals)
-    listed = catalogue.groupBy(file, header).agg(F.min(position).alias("_position"))
     scores = pair_scores(catalogue, header, spec, ratio=ratio, at_least=cut)
-    scores = scores.filter(F.col("score") >= cut)
-    pairs = listed.join(scores.withColumnRenamed("header", header), header)
+    # written first, so that its size is known and only headers that match anything are shuffled by file
+    scores = stored(scores.filter(F.col("score") >= cut).withColumnRenamed("header", header), "header_scores")
+    listed = catalogue.join(scores.select(header).distinct(), header, "left_semi")
+    listed = listed.groupBy(file, header).agg(F.min(position).alias("_position"))
+    pairs = listed.join(scores, header)
     best = Window.partitionBy(file, "signal").orderBy(F.desc("score"), "_position")
     pairs = pairs.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= n)
     order = F.create_map(*[F.lit(x) for i, s in enumerate(spec.signals) for x in (s, i)])

@@ -401,3 +401,28 @@ def test_no_pair_beats_an_assigned_one(spark):
 def test_plain_names_keep_other_alphabets(spark):
     df = spark.createDataFrame([("Engine RPM-1",), ("Öl_Druck",)], "x string")
     assert [r[0] for r in df.select(plain_name(F.col("x"))).collect()] == ["enginerpm1", "öldruck"]
+
+
+def test_headers_are_scored_without_reading_the_files_again(spark, tmp_path):
+    from fleetwise.operators.headers import match_headers, pair_scores
+
+    files = str(tmp_path / "catalogue_of_files")
+    spark.createDataFrame([(1, "rpm", 0), (1, "rpm", 1), (1, None, 2), (2, "zzzz", 0)], "f int, h string, p int").write.parquet(files)
+    catalogue = spark.read.parquet(files)
+    plan = pair_scores(catalogue, "h")._jdf.queryExecution().executedPlan().toString()
+    assert "catalogue_of_files" not in plan
+    assert [tuple(r) for r in match_headers(catalogue, "f", "h", "p").collect()] == [(1, "engine_speed_rpm", "rpm", 0.95)]
+
+
+def test_stored_runs_are_not_sorted_by_run(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from fleetwise.sources.runs import RunStore
+
+    store, name = RunStore(spark, str(tmp_path / "runs")), "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen, write = spark.conf.get(name), [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda *a, **k: (seen.append(spark.conf.get(name)), write(*a, **k)))
+    rows = spark.range(200).selectExpr("'u' unit_id", "CAST(id AS INT) t_index", "map('egt_c', 1D) readings", "CASE WHEN id % 20 > 0 THEN concat('run-', id % 20) END run_id")
+    store.append_packed(rows)
+    assert int(seen[-1]) >= 16 and spark.conf.get(name) == before
+    assert sorted(r.n_rows for r in store.counts().collect()) == [10] * 20
