@@ -200,6 +200,6 @@ def test_frames_are_made_by_block_and_gaps_are_found(spark):
     order = lambda f: sorted(map(tuple, f.collect()), key=lambda r: (r[0] or 0, r[1]))
     for g, e in zip(order(got), order(want), strict=True):
         assert g[:2] == e[:2]
-        assert g[2:] == pytest.approx(e[2:], nan_ok=True) if None not in e else g == e
+        assert g[2:] == pytest.approx(e[2:], nan_ok=True) if None not in e[2:] else g == e
     with pytest.raises(Exception, match="does not count"):
         wn.window_tensor(df.filter("t <> 30"), {"a": 1.0}, {"a": 2.0}, spec).collect()
