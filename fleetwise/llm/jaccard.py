@@ -16,11 +16,13 @@ exact; every filter below only leaves out pairs that cannot link.
   the length and the position filter in the join condition.
 * **Suffix filter.** Per set a histogram of its hashes over fixed cells: sizes of the parts bound the
   number of elements on one side only.
-* **Verification** counts the common elements of the whole sets, once per pair.
+* **Verification** counts the common elements of the whole sets, once per pair. The compressed texts are brought
+  together for it, one shuffle for either side, and cut again: sets of 64-bit hashes are larger and do not shrink.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwise.llm.components import components
-from fleetwise.llm.kernel import mix, shingle_sets, slices
+from fleetwise.llm.kernel import SLICE_BYTES, joined, mix, packed, shingle_sets, slices
 from fleetwise.shared import kept, scope, stored
 
 BINS = 64
 ID_BITS = 22
 KEY_BITS = 24  # of the table of set keys that occur twice, 2 MB
+SEEN = 1 << 16  # rows that a task remembers to leave out repeats before the shuffle
 GRAM_BITS = 27  # of the table of n-grams that several classes have, 16 MB
 
 
@@ -137,35 +140,61 @@ def _cell(column: str, bits: int):
     return F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, rule: Similarity) -> DataFrame:
-    """The whole sets of the documents in ``ids``, and of few others: a bit table says which are asked for, so no text is shuffled."""
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id``, ``text`` (compressed) of the documents in ``ids``, and of few others: a bit table says which are asked for.
+
+    Texts of words are a fraction of the size of their sets of hashes. They are dealt by id, repeats gone before that.
+    """
     cell = F.pmod(F.xxhash64("id"), F.lit(1 << ID_BITS))
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(ids.select(cell.alias("cell")), ID_BITS))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, bytes]] = set()
+        hash_of = lambda text: xxhash.xxh3_128_digest(text.as_buffer())
         for batch in batches:
             at = batch.column("cell").to_numpy()
             batch = batch.filter(pa.array(is_set(shared.value, at)))
             for part in slices(batch):
-                found = [s.tobytes() for s in shingle_sets(part.column("text"), rule.words)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.large_binary()).cast(pa.binary())], ["id", "grams"])
+                small = packed(part.column("text"))
+                new = []
+                for row in zip(part.column("id").to_pylist(), map(hash_of, small), strict=True):
+                    new.append(row not in seen)
+                    seen.add(row)
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([part.column("id"), small], ["id", "text"]).filter(pa.array(new))
 
     asked = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").where("id IS NOT NULL")
-    return asked.withColumn("cell", cell).mapInArrow(gather, "id bigint, grams binary").distinct()
+    found = asked.withColumn("cell", cell).mapInArrow(gather, "id bigint, text binary")
+    return found.repartition("id").distinct()
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The texts of the pairs of a batch, some megabytes at a time."""
+    first, second, size = [], [], 0
+    for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
+        first.append(zlib.decompress(x.as_buffer()))
+        second.append(zlib.decompress(y.as_buffer()))
+        size += len(first[-1]) + len(second[-1])
+        if size >= SLICE_BYTES:
+            yield joined(first), joined(second)
+            first, second, size = [], [], 0
+    if first:
+        yield joined(first), joined(second)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
     """Those of the pairs whose whole sets are similar enough."""
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), rule)
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                good.append(common > 0 and rule.den * common >= rule.num * (len(u) + len(v) - common))
+            for first, second in _unpacked(batch):
+                for u, v in zip(shingle_sets(first, rule.words), shingle_sets(second, rule.words), strict=True):
+                    common = len(np.intersect1d(u, v, assume_unique=True))
+                    good.append(common > 0 and rule.den * common >= rule.num * (len(u) + len(v) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(linked, "a bigint, b bigint")

@@ -6,7 +6,8 @@ one longer text), so that a task's memory does not depend on the number of its r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -69,6 +70,18 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def packed(texts: pa.Array) -> pa.Array:
+    """Every text of a column compressed by itself; a null is an empty text."""
+    data, at = text_bytes(texts)
+    return pa.array([zlib.compress(data[a:b], 1) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def joined(texts: Sequence[bytes]) -> pa.Array:
+    """A string column of texts that are at hand as bytes."""
+    at = np.cumsum([0, *map(len, texts)], dtype=np.int64)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at), pa.py_buffer(b"".join(texts)))
+
+
 def words(texts: pa.Array, member: np.ndarray) -> Words:
     data, at = text_bytes(texts)
     inside = member[data]
