@@ -1,6 +1,7 @@
 """The model queries at their defaults, run to their end, and what the search does."""
 
 import duckdb
+import numpy as np
 import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from fleetwise.learn import boosting as bo
 from fleetwise.learn import contenders as ct
+from fleetwise.learn import logistic as lg
 from fleetwise.learn import training as tr
+from fleetwise.operators import grading as gr
 from fleetwise.plans import ceiling as cl
 from fleetwise.spec import DEFAULT, SIGNALS
 
@@ -81,3 +84,33 @@ def test_out_of_fold_scores_come_from_the_other_folds(folded):
 def test_rungs_are_named_after_the_model():
     assert [cl.rung_name(r, ct.boosted_model()) for r in cl.RUNGS] == list(cl.RUNGS)
     assert [cl.rung_name(r, ct.logreg_model()) for r in cl.RUNGS] == ["logreg_perrow", "logreg_temporal"]
+
+
+def test_logistic_folds_share_their_passes_and_meet_the_contender(folded, monkeypatch):
+    """One model a fold, each with passes of its own, was most of the time on large tables."""
+    model = ct.logreg_model()
+    alone = [gr.auc_of(model.fit(folded.where(F.col("fold") != k), SIGNALS).score(folded.where(F.col("fold") == k)), "probability", DEFAULT.target) for k in range(3)]
+    monkeypatch.setattr(ct.Contender, "fit", None)  # no fit of a single fold is called
+    together = tr.grouped_cv_auc(model, folded, SIGNALS)
+    known = [a for a in alone if a is not None]
+    assert abs(together - sum(known) / len(known)) < 2e-3
+
+
+def test_scales_of_folds_are_those_of_the_other_rows(spark):
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((400, 2)) < 0.2, np.nan, rng.normal(5, 3, (400, 2)).round(3))
+    x[:, 1] = np.where(np.arange(400) % 3 == 0, x[:, 1], np.nan)
+    rows = [(*(None if np.isnan(v) else float(v) for v in r), None, int(i % 7 == 0), i % 3) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int, fold int")
+    found = lg.scales(df, ["a", "b", "c"], "y", [0, 1, 2])
+    for k, scale in found.items():
+        mine = np.arange(400) % 3 != k
+        for j in range(2):
+            v = x[mine, j]
+            known = np.sort(v[~np.isnan(v)])
+            fill = known[-(-len(known) // 2) - 1] if len(known) else 0.0
+            full = np.where(np.isnan(v), fill, v)
+            assert scale.fill[j] == fill and abs(scale.centre[j] - full.mean()) < 1e-9
+            assert abs(scale.spread[j] - (full.std(ddof=1) or 1.0)) < 1e-9
+        assert (scale.fill[2], scale.centre[2], scale.spread[2]) == (0.0, 0.0, 1.0)
+        assert (scale.rows, scale.positives) == (mine.sum(), sum(i % 7 == 0 for i in range(400) if i % 3 != k))
