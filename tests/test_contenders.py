@@ -114,3 +114,23 @@ def test_scales_of_folds_are_those_of_the_other_rows(spark):
             assert abs(scale.spread[j] - (full.std(ddof=1) or 1.0)) < 1e-9
         assert (scale.fill[2], scale.centre[2], scale.spread[2]) == (0.0, 0.0, 1.0)
         assert (scale.rows, scale.positives) == (mine.sum(), sum(i % 7 == 0 for i in range(400) if i % 3 != k))
+
+
+def test_logistic_shares_of_the_curve_keep_no_rows_in_memory(spark, monkeypatch):
+    """The fits of all shares held a copy of their rows in memory at the same time; now they pass over one stored table."""
+    import random
+
+    from pyspark.sql import DataFrame
+
+    rng = random.Random(4)
+    data = [(u, t, "test" if u % 4 == 0 else "train", None if t % 7 == 0 else x, rng.gauss(0, 1), int(x + rng.gauss(0, 1) > 0.5)) for u in range(24) for t in range(30) for x in [rng.gauss(u % 3, 1)]]
+    frame = spark.createDataFrame(data, "unit_id bigint, t_index int, split string, a double, b double, failure_within_h int")
+    contender = ct.logreg_model()
+    alone = tr.learning_curve(ct.Contender("logreg", contender.params, contender.build), frame, ["a", "b"], shares=(1.0, 0.3, 0.6)).collect()
+    monkeypatch.setattr(DataFrame, "persist", lambda *_: pytest.fail("rows are kept in memory"))
+    curve = tr.learning_curve(contender, frame, ["a", "b"], shares=(1.0, 0.3, 0.6)).collect()
+    assert [r.share for r in curve] == [1.0, 0.3, 0.6]
+    for r, s in zip(curve, alone, strict=True):
+        assert r.train_auc == pytest.approx(s.train_auc, abs=2e-3) and r.test_auc == pytest.approx(s.test_auc, abs=2e-3)
+    one = tr.learning_curve(contender, frame.withColumn("failure_within_h", F.lit(1)), ["a", "b"]).collect()
+    assert all(r.train_auc is None and r.test_auc is None for r in one)
